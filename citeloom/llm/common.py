@@ -117,6 +117,32 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], schema: str, work
     return wanted.mapInArrow(run, schema)
 
 
+def fold_pages(pages: DataFrame, key: str, schema: str, start: Callable[[], object], add: Callable[[object, dict], object], finish: Callable[[object], bytes]) -> DataFrame:
+    """Merge the rows of each page one after another; a task holds one merged page, never all rows.
+
+    schema names the key and the merged binary column.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([finish(held)], pa.binary())], names=names)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row[key] != current:
+                    if held is not None:
+                        yield out()
+                    current, held = row[key], start()
+                held = add(held, row)
+        if held is not None:
+            yield out()
+
+    return pages.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def joined_spans(spans: list[tuple[int, int, int, str]]) -> str:
     """kind:start:end by start, then the kind's rank; spans hold (start, rank, end, kind)."""
     return ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in sorted(spans))
