@@ -92,6 +92,41 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1)
     return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
+def first_words(text: bytes, n: int) -> bytes:
+    """The text up to the end of its nth word."""
+    inside = np.zeros(len(text) + 1, bool)
+    inside[:-1] = ~_SPACE[np.frombuffer(text, np.uint8)]
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    return text if n >= len(ends) else text[: ends[n - 1]] if n > 0 else b""
+
+
+def mixed_documents(docs: DataFrame, mixed: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The mix itself: a row for each whole take of a document, and one with its first words for a part.
+
+    columns are those of docs to return, doc_id, text, source and n_chars among them. Documents of one
+    source that share an id, or have none, are taken alike: by the longest part of them.
+    """
+    taken = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max("part").alias("_part"))
+    taken = keep(taken, "taken")
+    rows = docs.join(broadcast_if_small(taken, taken.count(), 500_000), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    rows = rows.withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0))))
+    rows = rows.select(*columns, F.when(F.col("_take") > F.col("_epochs"), F.col("_part")).alias("_words"))
+
+    def work():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = columns.index("text")
+            words = batch.column(len(columns)).to_pylist()
+            texts = [None if t is None else t if n is None else first_words(t.encode(), n).decode() for t, n in zip(batch.column(at).to_pylist(), words, strict=True)]
+            made = [batch.column(i) for i in range(len(columns))]
+            made[at] = pa.array(texts, pa.string())
+            return pa.RecordBatch.from_arrays(made, names=list(columns))
+
+        return step
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
+    return arrow_map(rows, schema, work).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+
+
 MIX_SQL = r"""
 with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
                  md5(coalesce(doc_id::varchar, 'null') || ':mix') as key from documents),
