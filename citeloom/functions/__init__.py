@@ -1 +1 @@
-"""functions"""
+"""Scalar functions: hashed uniforms, scores, bins and list encodings."""

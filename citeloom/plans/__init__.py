@@ -1 +1 @@
-"""plans"""
+"""Plans: the query catalogue, the yearly simulation and their state."""
