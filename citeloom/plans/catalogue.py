@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[Views], DataFrame]], Ca
     """Register a function of the views; sql: what follows the views' WITH list."""
 
     def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views.of(spark, sf_dir))
         if sql is not None:
             ORACLES[f.__name__] = f"with recursive {SQL}{sql}"
         return f

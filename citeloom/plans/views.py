@@ -7,6 +7,7 @@ that contain the same part. SQL holds the same views as DuckDB text.
 from __future__ import annotations
 
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,19 @@ class Views:
     """Tables as DataFrames, made when they are first asked for. What a query uses again and again is
     written to the shared folder once."""
 
+    _made: ClassVar[dict[tuple[str, str], Views]] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Views:
+        """The views of a folder, written once by an application: queries read the network, they don't rebuild it."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in cls._made:
+            cls._made[key] = cls(spark, sf_dir)
+        return cls._made[key]
+
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -48,7 +59,8 @@ class Views:
         orders = self._table("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
         customers = self._table("customer").select("c_custkey", "c_nationkey")
         joined = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).join(suppliers, orders["o_orderkey"] == suppliers["l_orderkey"], "left")
-        return joined.select(F.col("o_orderkey").alias("node_id"), "year", F.col("o_custkey").alias("author_id"), F.coalesce("na", F.lit(1)).cast("long").alias("num_authors"), F.col("c_nationkey").alias("cluster_id"))
+        rows = joined.select(F.col("o_orderkey").alias("node_id"), "year", F.col("o_custkey").alias("author_id"), F.coalesce("na", F.lit(1)).cast("long").alias("num_authors"), F.col("c_nationkey").alias("cluster_id"))
+        return keep(rows, "view_nodes_all")
 
     @cached_property
     def edges_all(self) -> DataFrame:
@@ -66,7 +78,7 @@ class Views:
     def edges(self) -> DataFrame:
         known = self._table("customer").select("c_custkey")
         older = self._table("orders").where(F.year("o_orderdate") < NOW).join(known, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-        return self.edges_all.join(older.select(F.col("o_orderkey").alias("source")), "source", "left_semi")
+        return keep(self.edges_all.join(older.select(F.col("o_orderkey").alias("source")), "source", "left_semi"), "view_edges_old")
 
     @cached_property
     def nodes(self) -> DataFrame:
