@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import Config, read_config
 from .functions.rng import u_fast
+from .functions.scores import elapsed
 from .operators import authors as au
 from .operators import graph as gr
 from .plans.simulate import Settings, State, draw_from, indexed_bag, run
@@ -17,6 +18,14 @@ from .plans.state import keep
 from .sources import readers, sinks
 
 
+class LogFormat(logging.Formatter):
+    """[LEVEL][d-h:m:s](t=Ns) message"""
+
+    def format(self, record: logging.LogRecord) -> str:
+        seconds = int(record.relativeCreated / 1000)
+        return f"[{record.levelname}][{elapsed(seconds)}](t={seconds}s) {record.getMessage()}"
+
+
 def settings(c: Config) -> Settings:
     return Settings(
         growth_rate=c.growth_rate, bounds=c.recency_bins, cap=None if c.neighborhood_sample == -1 else c.neighborhood_sample, use_alpha=c.use_alpha, alpha=c.alpha, minimum_alpha=c.minimum_alpha,
@@ -43,8 +52,6 @@ def seed_reputations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     earlier = papers.select("author_id", F.col("year").alias("py"), F.col("in_degree").alias("d"))
     pairs = papers.select("node_id", "author_id", "year").join(earlier, "author_id").where("py <= year")
     counted = pairs.groupBy("node_id", "d").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     reach = F.sum("n").over(Window.partitionBy("node_id").orderBy(F.col("d").desc()))
     h = counted.withColumn("h", F.least(reach, "d")).groupBy("node_id").agg(F.max("h").cast("int").alias("initial_author_reputation"))
     return nodes.join(h, "node_id", "left")
@@ -88,7 +95,9 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--config", required=True)
     c = read_config(parser.parse_args(argv).config)
-    logging.basicConfig(level=logging.INFO if c.log_level >= 1 else logging.WARNING, format="[%(levelname)s] %(message)s", filename=c.log_file or None)
+    handler = logging.FileHandler(c.log_file, mode="w") if c.log_file and c.log_level > 0 else logging.StreamHandler()
+    handler.setFormatter(LogFormat())
+    logging.basicConfig(level=logging.INFO if c.log_level >= 1 else logging.WARNING, handlers=[handler])
     spark = SparkSession.builder.appName("citeloom").getOrCreate()
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2000")
     state = simulate(spark, c)
