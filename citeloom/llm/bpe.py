@@ -31,7 +31,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile("[^\x00-ɏ]")
 LONG_WORD = 128
 #: Words remembered by a task at most; beyond it the table starts anew, which changes no result.
-TABLE_LIMIT = 200_000
+TABLE_LIMIT = 120_000
 NO_MERGE = 1 << 60
 
 
@@ -145,8 +145,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer_file: str, outputs: tuple[str, ...
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, found = [], {k: [] for k in outputs}
-            for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text)
+            for value in batch.column(1):
+                ids = bpe.encode(value.as_py())
                 n.append(len(ids) // 4)
                 decoded = bpe.decode(ids)
                 made = {"ids": lambda: np.frombuffer(ids, "<i4").tolist(), "decoded": lambda: decoded, "ids_sha256": lambda: hashlib.sha256(ids).hexdigest(), "decoded_sha256": lambda: hashlib.sha256(decoded.encode()).hexdigest()}

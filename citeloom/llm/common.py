@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,16 +70,41 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Rows and bytes of an Arrow batch. Long texts make Spark's 10,000 rows too many for small executors.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches where the session still has Spark's defaults."""
+    for key, default, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if str(spark.conf.get(name, default)).rstrip("b") == default:
+            spark.conf.set(name, str(ours))
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system: workers are used again by later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, schema: str, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """mapInArrow with per-task state: work() runs once in each task and returns the batch function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         step = work()
         for batch in batches:
             out = step(batch)
             if out is not None:
                 yield out
+            del batch, out
+        del step
+        release_memory()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

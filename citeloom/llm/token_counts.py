@@ -25,7 +25,7 @@ from .common import arrow_map, text_or_empty
 # Fixed value: the public split pattern of this byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens remembered by a task at most; beyond it the table starts anew, which changes no result.
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 250_000
 #: Longer texts are split piece by piece, cut where a single space starts a pre-token.
 SLICE = 1 << 20
 
