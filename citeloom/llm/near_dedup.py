@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     listed = listed_values(stands, value_counts(stands), max(0.05, t - SLACK))
     pivots = listed.groupBy("value").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("value", "pivot")
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-np.log(t) * 1.0001)).cast("int")
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(max(-np.log(t), 1e-6)) * 1.0001)).cast("int")
     members = listed.join(pivots, "value").select("pivot", "doc_id", "n_shingles").distinct().withColumn("band", band)
     members = members.withColumn("g", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     grouped = keep(_chunked(members, ["pivot", "g"]), "members")
