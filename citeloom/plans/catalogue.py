@@ -345,9 +345,10 @@ def bin_quota_rebalanced(v: Views) -> DataFrame:
 # --- selection ----------------------------------------------------------------------------------------------
 
 
-@query(SCORED_SQL + " select agent, hop, bin, candidate, round(score, 9) as score from scored")
+@query(SCORED_SQL + " select agent, hop, bin, candidate, floor(score * 1000000::double + 0.5::double)::bigint as score_millionths from scored")
 def scored_candidates(v: Views) -> DataFrame:
-    return scored_table(v).withColumn("score", F.round("score", 9))
+    """Engines round decimals differently, so the score is a whole number of millionths."""
+    return scored_table(v).select("agent", "hop", "bin", "candidate", F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("score_millionths"))
 
 
 @query(SCORED_SQL + f" select agent, hop, bin, candidate from (select *, row_number() over (partition by agent, hop, bin order by ln({us('wrs', 'agent', 'candidate')}) / score desc, candidate) as n from scored) where n <= 3")
