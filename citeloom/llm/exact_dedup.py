@@ -26,6 +26,8 @@ from .common import broadcast_if_small, keep, text_or_empty
 
 #: Digests of a bucket: its filter is built by one task.
 BUCKET = 50_000
+#: Copies of a text that are compared in one place.
+SHARE = 1_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -160,12 +162,15 @@ def exact_dedup(docs: DataFrame, batches: int = 2, digest: Column | None = None)
     for k in range(1, batches):
         snapshot = add_batch(snapshot, grouped.where(F.col("batch") == k).drop("batch"))
 
-    several = snapshot.where("copies > 1")
-    members = keep(rows.select("doc_id", "digest").join(several.select("digest", "last"), "digest").where("doc_id is not null").distinct(), "members")
+    # each thousand copies of a text meet a copy of the text that stays, so that large groups spread
+    several = snapshot.where("copies > 1").withColumn("shares", F.ceil(F.col("copies") / SHARE).cast("int"))
+    known = rows.where("doc_id is not null").select("doc_id", "digest").distinct()
+    members = keep(known.join(several.select("digest", "last", "shares"), "digest").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")), "members")
     n_members = members.count()
     texts = source.join(broadcast_if_small(members, n_members, 500_000), "doc_id").where((chosen if digest is not None else F.unhex(F.sha2(F.col("text"), 256))) == F.col("digest"))
-    stays = texts.where("doc_id = last").groupBy("digest").agg(F.min("text").alias("stays"))
-    differ = texts.join(stays, "digest").where("text <> stays").select("digest", "doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
+    stays = texts.where("doc_id = last").groupBy("digest", "shares").agg(F.min("text").alias("stays"))
+    stays = stays.select("digest", "stays", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"))
+    differ = texts.join(stays, ["digest", "part"]).where("text <> stays").select("digest", "doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
     apart = keep(differ.groupBy("digest", "text", "text_sha256").agg(F.max("doc_id").alias("own_last"), F.count("*").alias("own_copies")).drop("text"), "apart")
     gone = _merged(apart.select("digest", F.col("own_copies").alias("copies"), F.col("own_last").alias("last"))).select("digest", F.col("copies").alias("gone"))
 
