@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import pick
 from ..functions.scores import peak_fitness
+from .graph import dense_ids, distributed_rank
 from .sampling import at_index
 
 WEIGHTS = ("w_pa", "w_fit", "w_na", "w_ar")
@@ -86,7 +87,8 @@ def plant(agents: DataFrame, planted: DataFrame, relative_year: int, draw: Colum
     """planted(year, line_no, ...) of this relative year meet random distinct agents; present values replace the agent's."""
     lines = planted.where(F.col("year") == relative_year)
     place = lines.withColumn("_n", F.row_number().over(Window.orderBy("line_no"))).drop("year")
-    order = agents.withColumn("_u", draw).withColumn("_n", F.row_number().over(Window.orderBy("_u", "agent"))).drop("_u")
+    drawn = agents.withColumn("_u", draw)
+    order = distributed_rank(drawn, F.floor(F.col("_u") * 1024), "_u", "agent").withColumn("_n", F.col("idx") + 1).drop("_u", "idx")
     overrides = [c for c in place.columns if c in agents.columns]
     renamed = place.select("_n", "line_no", *(F.col(c).alias(f"_{c}") for c in overrides))
     joined = order.join(F.broadcast(renamed), "_n", "left")
@@ -102,5 +104,6 @@ def override_clonal(agents: DataFrame, clonal: DataFrame, which: Column) -> Data
 
 def schedule_cartel_authors(agents: DataFrame, authors: DataFrame) -> DataFrame:
     """agent, author_id: each author with a cartel id (0 counts) gets one agent, lowest ids first."""
-    a = authors.where("cartel_id >= 0").select("author_id", F.row_number().over(Window.orderBy("author_id")).alias("_n"))
-    return agents.select("agent", F.row_number().over(Window.orderBy("agent")).alias("_n")).join(a, "_n").select("agent", "author_id")
+    a = dense_ids(authors.where("cartel_id >= 0").select(F.col("author_id").alias("node_id")))
+    b = dense_ids(agents.select(F.col("agent").alias("node_id")))
+    return b.withColumnRenamed("node_id", "agent").join(a.withColumnRenamed("node_id", "author_id"), "idx").select("agent", "author_id")

@@ -76,14 +76,20 @@ def bin_probabilities(table: DataFrame, bounds: list[int]) -> DataFrame:
     return out.withColumn("probability", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
 
 
+def distributed_rank(rows: DataFrame, slot: Column, *order: str) -> DataFrame:
+    """Adds idx = 0, 1, ... in the order given. slot must not fall in that order: slots are counted first and
+    rows are numbered within their slot, so no task sees all rows."""
+    slotted = rows.withColumn("_slot", slot)
+    counts = slotted.groupBy("_slot").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_slot", ahead.alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_slot").orderBy(*order)) - 1
+    return slotted.join(starts, "_slot").withColumn("idx", (F.col("_start") + within).cast("long")).drop("_slot", "_start")
+
+
 def dense_ids(nodes: DataFrame, width: int = 1 << 14) -> DataFrame:
-    """node_id, idx = 0, 1, ... by ascending id. Ranges of ids are counted first, so no task sees all rows."""
-    ranged = nodes.select("node_id").withColumn("slot", F.floor(F.col("node_id") / width))
-    counts = ranged.groupBy("slot").agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("slot", ahead.alias("start"))
-    within = F.row_number().over(Window.partitionBy("slot").orderBy("node_id")) - 1
-    return ranged.join(starts, "slot").select("node_id", (F.col("start") + within).cast("long").alias("idx"))
+    """node_id, idx = 0, 1, ... by ascending id."""
+    return distributed_rank(nodes.select("node_id"), F.floor(F.col("node_id") / width), "node_id").select("node_id", "idx")
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import pick
 from ..functions.scores import MAX_CITATIONS, weighted_key
 from ..plans.state import keep
+from .graph import dense_ids, distributed_rank
 
 
 def scored(candidates: DataFrame, metrics: DataFrame, weights: DataFrame) -> DataFrame:
@@ -72,15 +73,15 @@ def random_fill(wanted: DataFrame, indexed: DataFrame, size: int, taken: DataFra
 
 
 def same_year_sources(agents: DataFrame, share: float, n: int, draw: Column) -> DataFrame:
-    """floor(n * share) distinct agents."""
-    order = Window.orderBy("_u", "agent")
-    return agents.select("agent").withColumn("_u", draw).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= int(n * share)).select("agent")
+    """floor(n * share) distinct agents: those with the smallest draws."""
+    ranked = distributed_rank(agents.select("agent").withColumn("_u", draw), F.floor(F.col("_u") * 1024), "_u", "agent")
+    return ranked.where(F.col("idx") < int(n * share)).select("agent")
 
 
 def same_year_citations(agents: DataFrame, sources: DataFrame, draw: Column) -> DataFrame:
     """agent, target: every source cites one new node that is no source."""
     others = agents.select("agent").join(sources, "agent", "left_anti")
-    indexed = others.select(F.col("agent").alias("node_id"), (F.row_number().over(Window.orderBy("agent")) - 1).cast("long").alias("idx"))
-    total = indexed.agg(F.count("*").alias("m"))
-    drawn = sources.crossJoin(F.broadcast(total)).where("m > 0").withColumn("idx", pick(draw, F.col("m"))).drop("m")
+    indexed = dense_ids(others.select(F.col("agent").alias("node_id")))
+    total = others.agg(F.count("*").alias("m"))
+    drawn = sources.join(F.broadcast(total)).where("m > 0").withColumn("idx", pick(draw, F.col("m"))).drop("m")
     return at_index(drawn, indexed, "node_id", "target")
