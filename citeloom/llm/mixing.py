@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, arrow_map, broadcast_if_small, keep, text_or_empty
 
 #: Documents of a key range, about.
-RANGE = 20_000
+RANGE = 2_000
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE.encode())] = True
 
