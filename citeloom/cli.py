@@ -30,9 +30,9 @@ def settings(c: Config) -> Settings:
     return Settings(
         growth_rate=c.growth_rate, bounds=c.recency_bins, cap=None if c.neighborhood_sample == -1 else c.neighborhood_sample, use_alpha=c.use_alpha, alpha=c.alpha, minimum_alpha=c.minimum_alpha,
         weights=(c.preferential_weight, c.fitness_weight, c.num_authors_weight, c.author_reputation_weight), lag=(c.fitness_lag_duration_min, c.fitness_lag_duration_max),
-        duration=(c.fitness_peak_duration_min, c.fitness_peak_duration_max), fitness=(c.fitness_value_min, c.fitness_value_max), same_year=c.same_year_proportion, random_share=c.fully_random_citations,
-        cartel_share=c.cartel_citation_proportion, null_cartel=c.null_cartel, generator_probability=c.generator_probability, degree_percent=c.in_degree_threshold, fitness_percent=c.fitness_threshold,
-        recency=c.recency_threshold, lifetime=c.author_lifetime, theta=max(0, c.theta), seed=c.seed,
+        duration=(c.fitness_peak_duration_min, c.fitness_peak_duration_max), fitness=(c.fitness_value_min, c.fitness_value_max), same_year=c.same_year_citations, random_share=c.fully_random_citations,
+        cartel_share=c.cartel_outdegree_proportion, null_cartel=c.null_cartel, generator_probability=c.non_random_generator_probability, degree_percent=c.in_degree_threshold, fitness_percent=c.fitness_threshold,
+        recency=c.recency_threshold, lifetime=c.author_max_lifetime, theta=max(0, c.theta), seed=c.seed,
     )
 
 
@@ -65,7 +65,7 @@ def simulate(spark: SparkSession, c: Config) -> State:
         authors = readers.checkpoint_authors(nodes)
         nodes = nodes.drop("in_degree", "out_degree", "cartel_id", "final_author_reputation", *([] if c.keep_fitness else ["num_authors"]))
     else:
-        nodes, authors = assign_seed_authors(spark, readers.read_nodelist(spark, c.nodelist), c.author_lifetime, c.seed)
+        nodes, authors = assign_seed_authors(spark, readers.read_nodelist(spark, c.nodelist), c.author_max_lifetime, c.seed)
         nodes = seed_reputations(keep(nodes, "seeds"), edges)
     unknown = gr.node_set(edges).join(nodes, "node_id", "left_anti").limit(1).count()
     if unknown:

@@ -14,23 +14,26 @@ class ConfigError(ValueError):
 REQUIRED = object()
 SECTIONS: dict[str, dict[str, tuple[type, object]]] = {
     "Environment": {
-        "edgelist": (str, REQUIRED), "nodelist": (str, REQUIRED), "growth_rate": (float, REQUIRED), "num_cycles": (int, REQUIRED),
-        "recency_table": (str, REQUIRED), "recency_bins": (str, REQUIRED), "out_degree_bag": (str, REQUIRED), "num_authors_bag": (str, REQUIRED),
-        "planted_nodes": (str, ""), "same_year_proportion": (float, REQUIRED), "start_from_checkpoint": (bool, False),
-        "author_lifetime": (int, REQUIRED), "community_assignment": (str, ""), "theta": (int, -42), "clonal_cartel_agent_file": (str, ""),
+        "edgelist": (str, REQUIRED), "nodelist": (str, REQUIRED), "out_degree_bag": (str, REQUIRED), "recency_table": (str, REQUIRED),
+        "planted_nodes": (str, REQUIRED), "growth_rate": (float, REQUIRED), "num_cycles": (int, REQUIRED), "recency_bins": (str, REQUIRED),
+        "start_from_checkpoint": (bool, REQUIRED), "community_assignment": (str, ""),
     },
     "Agent": {
-        "preferential_weight": (float, REQUIRED), "fitness_weight": (float, REQUIRED), "num_authors_weight": (float, REQUIRED),
-        "author_reputation_weight": (float, REQUIRED), "use_alpha": (bool, REQUIRED), "alpha": (float, -42.0), "minimum_alpha": (float, 0.0),
-        "fully_random_citations": (float, REQUIRED), "neighborhood_sample": (int, REQUIRED),
-        "fitness_value_min": (int, REQUIRED), "fitness_value_max": (int, REQUIRED), "fitness_lag_duration_min": (int, 0), "fitness_lag_duration_max": (int, 0),
-        "fitness_peak_duration_min": (int, 1), "fitness_peak_duration_max": (int, 1), "generator_probability": (float, 0.0),
-        "in_degree_threshold": (float, 5.0), "fitness_threshold": (float, 20.0), "recency_threshold": (int, 10),
-        "cartel_citation_proportion": (float, 0.0), "null_cartel": (bool, False),
+        "fully_random_citations": (float, REQUIRED), "preferential_weight": (float, REQUIRED), "fitness_weight": (float, REQUIRED),
+        "num_authors_weight": (float, REQUIRED), "author_reputation_weight": (float, REQUIRED), "fitness_value_min": (int, REQUIRED),
+        "fitness_value_max": (int, REQUIRED), "fitness_lag_duration_min": (int, REQUIRED), "fitness_lag_duration_max": (int, REQUIRED),
+        "fitness_peak_duration_min": (int, REQUIRED), "fitness_peak_duration_max": (int, REQUIRED), "same_year_citations": (float, REQUIRED),
+        "neighborhood_sample": (int, REQUIRED), "num_authors_bag": (str, REQUIRED), "author_max_lifetime": (int, REQUIRED),
+        "cartel_outdegree_proportion": (float, REQUIRED), "null_cartel": (bool, REQUIRED), "clonal_cartel_agent_file": (str, REQUIRED),
+        "alpha": (float, REQUIRED), "use_alpha": (bool, REQUIRED), "in_degree_threshold": (int, REQUIRED), "fitness_threshold": (int, REQUIRED),
+        "recency_threshold": (int, REQUIRED), "non_random_generator_probability": (float, REQUIRED), "minimum_alpha": (float, 0.0),
+        "minimum_preferential_weight": (float, 0.0), "minimum_fitness_weight": (float, 0.0), "theta": (int, -42),
     },
-    "General": {"output_file": (str, REQUIRED), "auxiliary_information_file": (str, REQUIRED), "log_file": (str, ""), "log_level": (int, 0), "num_processors": (int, 1), "seed": (int, 0)},
+    "General": {"output_file": (str, REQUIRED), "auxiliary_information_file": (str, REQUIRED), "log_file": (str, REQUIRED), "num_processors": (int, REQUIRED), "log_level": (int, REQUIRED), "seed": (int, 0), "keep_fitness": (bool, False)},
 }
-ALIASES = {"planted_agents": "planted_nodes", "num_threads": "num_processors"}
+ALIASES = {"planted_agents": "planted_nodes"}
+#: A number that is left empty is absent.
+MISSING = -42
 
 
 @dataclass(frozen=True)
@@ -44,9 +47,9 @@ class Config:
     out_degree_bag: str
     num_authors_bag: str
     planted_nodes: str
-    same_year_proportion: float
+    same_year_citations: float
     start_from_checkpoint: bool
-    author_lifetime: int
+    author_max_lifetime: int
     community_assignment: str
     theta: int
     clonal_cartel_agent_file: str
@@ -65,11 +68,11 @@ class Config:
     fitness_lag_duration_max: int
     fitness_peak_duration_min: int
     fitness_peak_duration_max: int
-    generator_probability: float
-    in_degree_threshold: float
-    fitness_threshold: float
+    non_random_generator_probability: float
+    in_degree_threshold: int
+    fitness_threshold: int
     recency_threshold: int
-    cartel_citation_proportion: float
+    cartel_outdegree_proportion: float
     null_cartel: bool
     output_file: str
     auxiliary_information_file: str
@@ -95,6 +98,8 @@ def _typed(section: str, key: str, kind: type, text: str) -> object:
         if text not in ("true", "false"):
             raise ConfigError(f"[{section}] {key} must be true or false")
         return text == "true"
+    if kind is not str and not text:
+        return kind(MISSING)
     try:
         return kind(text)
     except ValueError as bad:
@@ -121,13 +126,23 @@ def read_config(path: str) -> Config:
     return validate(Config(**{f.name: values[f.name] for f in fields(Config) if f.name in values}))  # type: ignore[arg-type]
 
 
+#: Settings that only some runs need.
+OPTIONAL = ("alpha", "theta", "minimum_alpha", "minimum_preferential_weight", "minimum_fitness_weight")
+
+
 def validate(c: Config) -> Config:
-    if c.use_alpha and c.alpha == -42.0:
+    for name in (k for keys in SECTIONS.values() for k, (kind, _) in keys.items() if kind in (int, float) and k not in OPTIONAL):
+        if getattr(c, name, 0) == MISSING:
+            raise ConfigError(f"{name} has no value")
+    for name in ("edgelist", "nodelist", "out_degree_bag", "recency_table", "num_authors_bag", "output_file", "auxiliary_information_file"):
+        if not getattr(c, name):
+            raise ConfigError(f"{name} has no value")
+    if c.use_alpha and c.alpha == MISSING:
         raise ConfigError("alpha is needed with use_alpha")
     if c.community_assignment and c.theta <= 0:
         raise ConfigError("community_assignment needs a theta over 0")
-    if not 0 <= c.same_year_proportion < 1:
-        raise ConfigError("same_year_proportion must lie in [0, 1)")
+    if not 0 <= c.same_year_citations < 1:
+        raise ConfigError("same_year_citations must lie in [0, 1)")
     if c.growth_rate < 0 or c.num_cycles < 0:
         raise ConfigError("growth_rate and num_cycles can't be negative")
     if not 1 <= c.fitness_value_min <= c.fitness_value_max:

@@ -21,29 +21,41 @@ num_cycles = {cycles}
 recency_table = {d}/recency.csv
 recency_bins = 1,2,3,5 ; bins
 out_degree_bag = {d}/degrees.csv
-num_authors_bag = {d}/authors.csv
-same_year_proportion = 0.25
 start_from_checkpoint = {restart}
-author_lifetime = 30
+planted_nodes = {planted}
 {more}
 [Agent]
+num_authors_bag = {d}/authors.csv
+same_year_citations = 0.25
+author_max_lifetime = 30
 preferential_weight = -1
 fitness_weight = 1
 num_authors_weight = 1
 author_reputation_weight = 1
 use_alpha = true
 alpha = -1
+theta = {theta}
 fully_random_citations = 0.05
 neighborhood_sample = 15
 fitness_value_min = 1
 fitness_value_max = 1000
-generator_probability = 0.3
-cartel_citation_proportion = 0.5
+fitness_lag_duration_min = 0
+fitness_lag_duration_max = 2
+fitness_peak_duration_min = 1
+fitness_peak_duration_max = 3
+in_degree_threshold = 5
+fitness_threshold = 20
+recency_threshold = 10
+non_random_generator_probability = 0.3
+cartel_outdegree_proportion = 0.5
+null_cartel = {null}
+clonal_cartel_agent_file =
 [General]
 output_file = {d}/out_edges{tag}
 auxiliary_information_file = {d}/out_nodes{tag}
 log_file = {d}/log{tag}
 log_level = 1
+num_processors = 4
 seed = 4
 """
 
@@ -70,7 +82,7 @@ def folder(tmp_path_factory):
 
 
 def config(folder, name="c", **more):
-    values = {"d": folder, "nodes": "nodes.csv", "cycles": 2, "restart": "false", "more": "", "tag": ""} | more
+    values = {"d": folder, "nodes": "nodes.csv", "cycles": 2, "restart": "false", "more": "", "tag": "", "planted": "", "theta": 0, "null": "false"} | more
     path = f"{folder}/{name}.ini"
     with open(path, "w") as f:
         f.write(INI.format(**values))
@@ -78,7 +90,7 @@ def config(folder, name="c", **more):
 
 
 def test_two_years(spark, folder):
-    c = config(folder, more=f"planted_agents = {folder}/planted.csv\ncommunity_assignment = {folder}/communities.csv\ntheta = 5")
+    c = config(folder, planted=f"{folder}/planted.csv", more=f"community_assignment = {folder}/communities.csv", theta=5)
     state = cli.simulate(spark, c)
     nodes = {r["node_id"]: r.asDict() for r in state.nodes.collect()}
     edges = [tuple(r) for r in state.edges.select("source", "target").collect()]
@@ -125,7 +137,7 @@ def test_restart_with_a_group(spark, folder):
     write(f"{folder}/marked.csv", rows[0].keys(), [list(r.values()) for r in rows])
     edges = [r for p in glob.glob(f"{folder}/out_edges_1/part*") for r in list(csv.reader(open(p)))[1:]]
     write(f"{folder}/edges2.csv", ["s", "t"], edges)
-    c = config(folder, "second", cycles=1, nodes="marked.csv", restart="true", tag="_2")
+    c = config(folder, "second", cycles=1, nodes="marked.csv", restart="true", tag="_2", null="true")
     c = type(c)(**(c.__dict__ | {"edgelist": f"{folder}/edges2.csv"}))
     state = cli.simulate(spark, c)
     new = state.nodes.where("year = 1999").collect()
@@ -160,7 +172,7 @@ def test_bad_bins(text):
         parse_bounds(text)
 
 
-@pytest.mark.parametrize(("old", "new"), [("growth_rate = 0.2", ""), ("use_alpha = true", "use_alpha = yes"), ("alpha = -1\n", "\n"), ("same_year_proportion = 0.25", "same_year_proportion = 1"), ("[General]", "[Other]")])
+@pytest.mark.parametrize(("old", "new"), [("growth_rate = 0.2", ""), ("use_alpha = true", "use_alpha = yes"), ("\nalpha = -1\n", "\nalpha =\n"), ("same_year_citations = 0.25", "same_year_citations = 1"), ("neighborhood_sample = 15", "neighborhood_sample ="), ("[General]", "[Other]")])
 def test_bad_config(folder, tmp_path, old, new):
     config(folder, "ok")
     path = tmp_path / "bad.ini"
