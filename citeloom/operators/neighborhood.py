@@ -26,11 +26,12 @@ def one_hop(picks: DataFrame, adj: DataFrame) -> DataFrame:
 
 def two_hop(picks: DataFrame, adj: DataFrame, parents: DataFrame, near: DataFrame) -> DataFrame:
     """agent, parent, candidate: neighbours of parents outside near and generators (near is the whole
-    first hop: nodes that a cap left out stay visited)."""
-    reach = parents.select("agent", F.col("candidate").alias("parent")).join(adj, F.col("parent") == adj["node_id"])
-    reach = reach.select("agent", "parent", F.col("neighbor").alias("candidate"))
+    first hop: nodes that a cap left out stay visited). Other columns of parents are kept."""
+    more = [c for c in parents.columns if c not in ("agent", "candidate")]
+    reach = parents.select("agent", F.col("candidate").alias("parent"), *more).join(adj, F.col("parent") == adj["node_id"])
+    reach = reach.select("agent", "parent", F.col("neighbor").alias("candidate"), *more)
     seen = near.select("agent", "candidate").unionByName(picks.select("agent", F.col("generator").alias("candidate")))
-    return reach.join(seen, ["agent", "candidate"], "left_anti").select("agent", "parent", "candidate")
+    return reach.join(seen, ["agent", "candidate"], "left_anti").select("agent", "parent", "candidate", *more)
 
 
 def capped(near: DataFrame, cap: int, draw: Column) -> DataFrame:
@@ -51,8 +52,10 @@ def hops(picks: DataFrame, adj: DataFrame, cap: int | None, draw) -> DataFrame:
     """agent, hop, candidate for hops 1 and 2. cap None: exact. draw(purpose, *columns) gives uniforms."""
     near = one_hop(picks, adj)
     chosen = near if cap is None else capped(near, cap, draw("cap1", "agent", "candidate"))
-    far = two_hop(picks, adj, chosen, near)
-    far = far.select("agent", "candidate").distinct() if cap is None else capped_far(far, cap, draw("cap2p", "agent", "parent"), draw("cap2c", "agent", "candidate"))
+    # parents get their draws before they fan out
+    parents = chosen if cap is None else chosen.withColumn("_draw", draw("cap2p", "agent", "candidate"))
+    far = two_hop(picks, adj, parents, near)
+    far = far.select("agent", "candidate").distinct() if cap is None else capped_far(far, cap, F.col("_draw"), draw("cap2c", "agent", "candidate"))
     return chosen.select("agent", F.lit(1).alias("hop"), "candidate").unionByName(far.select("agent", F.lit(2).alias("hop"), "candidate"))
 
 
