@@ -59,12 +59,23 @@ NEAR = {
 }
 AWAY = ("order", "invoice", "version", "isbn", "part", "serial", "issue")
 _WINDOW = 32
+#: Matches whose offsets are summed together.
+_RUN = 128
 
 _SPAN = "array<struct<start:bigint,end:bigint,value:string,before:string>>"
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body's lambdas name it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """start, end, value and the text shortly before, of all matches in order."""
+    """start, end, value and the text shortly before, of all matches in order.
+
+    A growing accumulator is copied at every step, so offsets are summed within runs of _RUN matches,
+    and each run is then moved by the length of the runs before it.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     parts = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
@@ -75,8 +86,18 @@ def _matches(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("value"), F.lower(F.right(x["piece"], F.lit(_WINDOW))).alias("before"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(parts, start, add, lambda acc: acc["out"])
+    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(_SPAN).alias("out"))
+    firsts = lambda ps: F.sequence(F.lit(1), F.greatest(F.size(ps), F.lit(1)), F.lit(_RUN))
+    runs = _bound(parts, lambda ps: F.transform(firsts(ps), lambda i: F.aggregate(F.slice(ps, i, F.lit(_RUN)), zero, add)))
+
+    def moved(run: Column, by: Column) -> Column:
+        return F.transform(run["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"), s["before"].alias("before")))
+
+    def joined(rs: Column) -> Column:
+        ahead = F.transform(rs, lambda r, i: F.aggregate(F.slice(rs, F.lit(1), i), F.lit(0).cast("bigint"), lambda n, x: n + x["pos"]))
+        return F.flatten(F.zip_with(rs, ahead, moved))
+
+    return _bound(runs, joined)
 
 
 def _digits(value: Column) -> Column:

@@ -405,6 +405,14 @@ def test_em_finds_the_bad_labeler():
     assert weights["regex:2"] - weights["regex:0"] > abs(weights["context:2"] - weights["context:0"])
 
 
+def test_pii_offsets_across_runs_of_matches(spark):
+    text = "é a@b.cd 12, 10.0.0.7 " * (2 * pii._RUN + 5)
+    for n in (pii._RUN - 1, pii._RUN, pii._RUN + 1, 2 * pii._RUN + 5):
+        row = pii.candidates(spark.createDataFrame([(1, text[: 22 * n])], "doc_id long, text string")).first()
+        assert [(s["start"], s["end"]) for s in row["email"]] == [(22 * i + 2, 22 * i + 8) for i in range(n)]
+        assert [(s["start"], s["end"]) for s in row["ip"]] == [(22 * i + 13, 22 * i + 21) for i in range(n)]
+
+
 def test_pii_plan_has_no_python(docs):
     plan = pii.candidates(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
