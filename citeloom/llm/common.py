@@ -29,16 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 
     A temporary folder is made only where the session names none, as in a local test.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _set_dir(spark)
     if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="citeloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
+        found = _set_dir(spark)
     return found.rstrip("/")
 
 
+def _set_dir(spark: SparkSession) -> str | None:
+    """The folder that setCheckpointDir was given, which the session's settings don't show."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return current.get() if current.isDefined() else None
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
