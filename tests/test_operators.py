@@ -181,3 +181,13 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)], "source long, target long")
     got = {r["node_id"]: r["component"] for r in co.connected_components(gr.node_set(edges), edges).collect()}
     assert {got[i] for i in range(31)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
+
+
+def test_own_folder_where_the_session_names_none(spark):
+    from types import SimpleNamespace
+
+    from citeloom.plans import state
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=spark.sparkContext)
+    found = state.shared_dir(bare)
+    assert found and state.shared_dir(bare) == found
