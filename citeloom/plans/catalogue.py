@@ -581,14 +581,15 @@ def edge_validity(v: Views) -> DataFrame:
     return gr.valid_edges(v.edges_all, v.nodes)
 
 
+#: The edges that the recursive SQL walks.
 FEW = "source % 4 = 0 and target % 3 = 0"
 
 
 @query(f""", e as (select source, target from edges where {FEW}), n as (select source as node_id from e union select target from e), b as (select source as x, target as y from e union select target, source from e),
   walk(node_id, reached) as (select node_id, node_id from n union select walk.node_id, y from walk join b on x = reached) select node_id, min(reached) as component from walk group by node_id""")
 def connected_components(v: Views) -> DataFrame:
-    few = keep(v.edges.where(FEW), "few")
-    return co.connected_components(gr.node_set(few), few)
+    """The whole network. The SQL walks only the edges of FEW, so its rows are others."""
+    return co.connected_components(v.nodes.select("node_id"), v.edges)
 
 
 @query(" select cluster_id, n as nodes, coalesce(i, 0) as inner, coalesce(i, 0) - 0.01::double * (n * (n - 1) / 2) as quality from (select cluster_id, count(*) as n from nodes group by cluster_id) left join (select s.cluster_id, count(*) as i from edges join nodes s on s.node_id = source join nodes t on t.node_id = target where s.cluster_id = t.cluster_id group by 1) using (cluster_id)")
@@ -600,8 +601,7 @@ def community_quality(v: Views) -> DataFrame:
 
 @query()
 def leiden_partition(v: Views) -> DataFrame:
-    few = keep(v.edges.where(FEW), "few")
-    return co.communities(gr.node_set(few), few, "cpm", 0.01)
+    return co.communities(v.nodes.select("node_id"), v.edges, "cpm", 0.01)
 
 
 @query()
