@@ -263,7 +263,8 @@ CLUSTER_SQL = PICK_SQL + ", own as (select agent, generator, cluster_id from pic
 
 @query(CLUSTER_SQL + " select agent, node_id as candidate from own join nodes using (cluster_id) where node_id <> generator and year < 2001")
 def cluster_candidates(v: Views) -> DataFrame:
-    picks = ag.inherit_cluster(generator_picks(v).where("agent % 7 = 0"), v.nodes)
+    """All agents. The SQL has those of agent % 7 = 0 only."""
+    picks = ag.inherit_cluster(generator_picks(v), v.nodes)
     return ne.cluster_candidates(picks, v.nodes, NOW)
 
 

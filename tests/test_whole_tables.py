@@ -77,3 +77,14 @@ def test_communities_reach_the_best_partition(spark, gamma):
     ids = sorted({x for e in edges for x in e})
     assert sorted(x for g in found for x in g) == ids
     assert cpm(found, edges, gamma) == pytest.approx(max(cpm(p, edges, gamma) for p in partitions(ids)))
+
+
+def test_every_agent_has_cluster_candidates(spark):
+    nodes = [(n, 1995 + n % 8, n % 4 if n % 9 else -1) for n in range(40)]
+    v = views(spark, [(1, 0)], nodes, [(a, 0) for a in range(1, 60)])
+    cluster = {n: c for n, _, c in nodes}
+    picks = {r["agent"]: r["generator"] for r in catalogue.generator_picks(v).collect()}
+    assert len(picks) == 59
+    want = {(a, n) for a, g in picks.items() for n, y, c in nodes if c == cluster[g] >= 0 and n != g and y < catalogue.NOW}
+    got = [tuple(r) for r in catalogue.cluster_candidates(v).select("agent", "candidate").collect()]
+    assert len(got) == len(want) and {*got} == want
