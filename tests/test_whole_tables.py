@@ -88,3 +88,12 @@ def test_every_agent_has_cluster_candidates(spark):
     want = {(a, n) for a, g in picks.items() for n, y, c in nodes if c == cluster[g] >= 0 and n != g and y < catalogue.NOW}
     got = [tuple(r) for r in catalogue.cluster_candidates(v).select("agent", "candidate").collect()]
     assert len(got) == len(want) and {*got} == want
+
+
+def test_every_source_makes_the_round_trip(spark):
+    edges = [(s, (7 * s + k) % 50) for s in range(60, 75) for k in range(s % 4)]
+    want = {}
+    for s, t in edges:
+        want.setdefault(s, []).append(t)
+    got = {r["node_id"]: (r["encoded"], r["n"]) for r in catalogue.generator_string_roundtrip(views(spark, edges)).collect()}
+    assert got == {s: (";".join(map(str, sorted(ts))), len(ts)) for s, ts in want.items()}
