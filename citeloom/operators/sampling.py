@@ -48,15 +48,16 @@ def random_fill(wanted: DataFrame, indexed: DataFrame, size: int, taken: DataFra
     """wanted(agent, f): f distinct uniform nodes an agent that are not in taken(agent, target).
 
     Indices are drawn, never the whole graph: a round draws f + slack of what is still missing, joins
-    nodes by index, drops taken and repeated ones. Rounds draw new indices and double the slack until nobody misses any
-    (an agent that wants more than the graph holds takes what is left). draw(agent column, number column) is the uniform.
+    nodes by index, drops taken and repeated ones. Rounds draw new indices and double the slack until nobody misses any.
+    Who misses some after the last round has taken nearly the whole graph: what it has left is ranked by a draw for each
+    node, so it gets f or all there is. draw(agent column, number column) is the uniform.
     """
     found = None
     excluded = taken.select("agent", "target").distinct()
     left = wanted.where("f > 0").select("agent", "f")
     for turn in range(rounds):
         if turn and not left.limit(1).count():
-            break
+            return found
         numbers = F.sequence(F.lit(1), F.least(F.col("f") * (1 << min(turn, 6)) + slack, F.lit(4 * MAX_CITATIONS)).cast("int"))
         drawn = left.select("agent", "f", F.explode(numbers).alias("n")).withColumn("n", F.col("n") + turn * 100_000)
         hits = at_index(drawn.withColumn("idx", pick(draw(F.col("agent"), F.col("n")), size)), indexed, "node_id", "target")
@@ -64,12 +65,16 @@ def random_fill(wanted: DataFrame, indexed: DataFrame, size: int, taken: DataFra
         order = Window.partitionBy("agent").orderBy("n")
         new = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("f")).select("agent", "target", "n")
         found = new if found is None else found.unionByName(new)
-        if rounds == 1:
-            break
         got = new.groupBy("agent").agg(F.count("*").alias("got"))
         left = left.join(got, "agent", "left").select("agent", (F.col("f") - F.coalesce("got", F.lit(0))).alias("f")).where("f > 0")
         left, found = keep(left, "left"), keep(found, "found")
-    return found
+    if not left.limit(1).count():
+        return found
+    free = left.crossJoin(indexed.select(F.col("node_id").alias("target"))).join(excluded.unionByName(found.select("agent", "target")), ["agent", "target"], "left_anti")
+    # numbers below 0: no round draws them
+    order = Window.partitionBy("agent").orderBy("_u", "target")
+    ranked = free.withColumn("_u", draw(F.col("agent"), -1 - F.col("target"))).withColumn("rank", F.row_number().over(order)).where("rank <= f")
+    return found.unionByName(ranked.select("agent", "target", (F.col("rank") + rounds * 100_000).cast(found.schema["n"].dataType).alias("n")))
 
 
 def same_year_sources(agents: DataFrame, share: float, n: int, draw: Column) -> DataFrame:

@@ -367,10 +367,11 @@ def uniform_topk(v: Views) -> DataFrame:
   fresh as (select agent, f, target, min(n) as n from hit anti join near on near.agent = hit.agent and near.candidate = hit.target group by all)
   select agent, target from (select *, row_number() over (partition by agent order by n) as rank from fresh) where rank <= f""")
 def random_fill(v: Views) -> DataFrame:
+    """Filled to the end. The SQL has the first round only: rows differ where an agent needs another one."""
     indexed = keep(gr.dense_ids(v.nodes), "index")
     cited = ne.one_hop(generator_picks(v), ne.adjacency(v.edges)).select("agent", F.col("candidate").alias("target"))
     wanted = v.agents.select("agent", (F.col("agent") % 5).cast("int").alias("f"))
-    return sa.random_fill(wanted, indexed, indexed.count(), cited, lambda a, n: u("fill", a, n), slack=3, rounds=1).select("agent", "target")
+    return sa.random_fill(wanted, indexed, indexed.count(), cited, lambda a, n: u("fill", a, n)).select("agent", "target")
 
 
 SAME_SQL = f", sources as (select agent from (select agent, row_number() over (order by {us('source', 'agent')}, agent) as n, count(*) over () as m from agents) where n <= floor(m * 0.12::double))"

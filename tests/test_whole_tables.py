@@ -3,8 +3,11 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
+from citeloom.functions import rng
 from citeloom.operators import community as co
+from citeloom.operators import sampling as sa
 from citeloom.plans import catalogue
 
 
@@ -97,3 +100,27 @@ def test_every_source_makes_the_round_trip(spark):
         want.setdefault(s, []).append(t)
     got = {r["node_id"]: (r["encoded"], r["n"]) for r in catalogue.generator_string_roundtrip(views(spark, edges)).collect()}
     assert got == {s: (";".join(map(str, sorted(ts))), len(ts)) for s, ts in want.items()}
+
+
+def test_random_fill_beside_a_hub(spark):
+    edges = [(i, 0) for i in range(1, 9)] + [(9, 10), (10, 11)]  # 0 has eight neighbours of twelve nodes
+    v = views(spark, edges, agents=[(a, 0) for a in range(200)])
+    picks = {r["agent"]: r["generator"] for r in catalogue.generator_picks(v).collect()}
+    near = {n: {b for a, b in edges if a == n} | {a for a, b in edges if b == n} for n in range(12)}
+    assert any(g == 0 and a % 5 == 4 for a, g in picks.items())
+    got = {}
+    for r in catalogue.random_fill(v).collect():
+        got.setdefault(r["agent"], []).append(r["target"])
+    for a, g in picks.items():
+        targets = got.get(a, [])
+        assert len({*targets}) == len(targets) == min(a % 5, 12 - len(near[g]))
+        assert {*targets} <= {*range(12)} - near[g]
+
+
+def test_random_fill_meets_the_last_free_nodes(spark):
+    indexed = spark.range(3000).select(F.col("id").alias("idx"), F.col("id").alias("node_id"))
+    taken = spark.createDataFrame([(1, i) for i in range(3000) if i not in (17, 2900)], "agent long, target long")
+    wanted = spark.createDataFrame([(1, 2), (2, 2)], "agent long, f int")
+    rows = sa.random_fill(wanted, indexed, 3000, taken, lambda a, n: rng.u("f", a, n), rounds=2).collect()
+    assert sorted(r["target"] for r in rows if r["agent"] == 1) == [17, 2900]
+    assert len({r["target"] for r in rows if r["agent"] == 2}) == 2 and len(rows) == 4
