@@ -4,8 +4,9 @@ Base kinds (assign, access, hex) are leftmost non-overlapping matches of their p
 are too short are dropped and not tried again. The entropy kind looks at candidate strings: runs of
 base64 characters. For each character class that a run belongs to (hex, letters and digits, base64) a
 window slides over the run; the Shannon entropy of its characters is kept up to date by one count up
-and one count down a step. Windows over the class's limit are joined into a span, unless an allow-list
-rule suppresses the run. Entropy spans that touch a base span are dropped: base spans stay.
+and one count down a step. Windows over the class's limit are joined into a span, but windows that read like
+words. Parts of a run that an allow-list rule names are cut out; what stands beside them is looked at.
+Entropy spans that touch a base span are dropped: base spans stay.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows are independent:
 repeated rows, null ids and extra columns change nothing; an empty table gives an empty result.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -52,16 +54,28 @@ CLASSES = (
     EntropyClass("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 3.9),
 )
 
-#: Runs that look random and are not secrets: UUIDs, ordered alphabets, placeholders, and plain words.
-ALLOW = (
-    re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
-    re.compile(r"(?i:example|sample|placeholder|dummy|changeme|xxxx|your[_-])"),
-    re.compile(r"(?i:0123456789|123456789|abcdefghij|qwertyuiop)"),
+#: Parts of runs that look random and are not secrets: UUIDs, ordered alphabets and placeholders. A placeholder
+#: names the letters and digits around it as well, an alphabet goes as far as it is in order.
+UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+PLACEHOLDER = re.compile(r"(?i:example|sample|placeholder|dummy|changeme|xxxx|your[_-])")
+ORDERED = re.compile(r"(?i:0123456789|123456789|abcdefghij|qwertyuiop)")
+
+#: Letter pairs that words are made of: the 240 most usual ones of English, Spanish, French and German prose and of
+#: program text. They make up 90 % of the pairs in program text, 96 % and more in prose, and 36 % of random letters.
+PAIRS = frozenset(
+    part[0] + b
+    for part in (
+        "a:abcdegilmnopqrstuv b:aejlou c:aehiklot d:aehiostu e:abcdefghilmnopqrstuvxz f:aior g:aes h:abceghiklnoprstuvwz i:acdefglmnorst j:a k:e l:aefilostuy m:aeiop"
+        " n:abcdeghijklmnopqrstuvwz o:abcdefijlmnopqrstuw p:aefloprt q:u r:abceghimnorsty s:abcdeghijlmopqrstu t:abehinorstuyz u:aefilmnoprstx v:aeio w:ahi x:aeot y:p z:u"
+    ).split()
+    for b in part[2:]
 )
+#: Share of a window's pairs from which it reads like words.
+WORDS = 0.65
 
 
-def hot_windows(run: str, window: int, limit: float) -> list[tuple[int, int]]:
-    """Joined spans of all windows of the run whose entropy is at least the limit."""
+def hot_windows(run: str, window: int, limit: float, words: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Joined spans of all windows of the run whose entropy is at least the limit and that words(start, end) does not name."""
     if len(run) < window:
         return []
     counts: dict[str, int] = {}
@@ -79,6 +93,8 @@ def hot_windows(run: str, window: int, limit: float) -> list[tuple[int, int]]:
             counts[old] = c - 1
         if i >= window - 1 and total <= least + 1e-9:
             start = i - window + 1
+            if words is not None and words(start, i + 1):
+                continue
             if spans and start <= spans[-1][1]:
                 spans[-1][1] = i + 1
             else:
@@ -86,17 +102,60 @@ def hot_windows(run: str, window: int, limit: float) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-def allowed(run: str) -> bool:
-    """Runs that no entropy span may come from. A secret mixes digits with letters; prose doesn't."""
-    digits = sum(c.isdigit() for c in run)
-    letters = sum(c.isalpha() for c in run)
-    if digits < 3 or letters < 3:
-        return True
-    return any(p.search(run) for p in ALLOW)
+def open_parts(run: str) -> list[tuple[int, int]]:
+    """The run without what the allow-list names."""
+    cut = [m.span() for m in UUID.finditer(run)]
+    at = 0
+    while m := PLACEHOLDER.search(run, at):
+        start, end = m.span()
+        while start > at and run[start - 1].isalnum():
+            start -= 1
+        while end < len(run) and run[end].isalnum():
+            end += 1
+        cut.append((start, end))
+        at = end
+    for m in ORDERED.finditer(run):
+        end = m.end()
+        while end < len(run) and ord(run[end]) == ord(run[end - 1]) + 1:
+            end += 1
+        cut.append((m.start(), end))
+    parts, at = [], 0
+    for a, b in sorted(cut):
+        if a > at:
+            parts.append((at, a))
+        at = max(at, b)
+    return [*parts, (at, len(run))]
+
+
+def word_windows(run: str) -> Callable[[int, int], bool]:
+    """Whether run[start:end] reads like words or numbers. Three digits among three letters do not; otherwise the pairs
+    of letters decide. A digit beside a letter counts as a pair that words don't have; a capital after two
+    small letters begins another word and counts as nothing, after a single one it is no pair of words either."""
+    digits, letters, pairs, usual = [0], [0], [0, 0], [0, 0]
+    for c in run:
+        digits.append(digits[-1] + c.isdigit())
+        letters.append(letters[-1] + c.isalpha())
+    for before, a, b in zip(" " + run, run, run[1:]):
+        both = a.isalpha() and b.isalpha()
+        begins = a.islower() and b.isupper()
+        judged = both and not (begins and before.islower()) or a.isalpha() and b.isdigit() or a.isdigit() and b.isalpha()
+        pairs.append(pairs[-1] + judged)
+        usual.append(usual[-1] + (judged and both and not begins and (a + b).lower() in PAIRS))
+
+    def words(start: int, end: int) -> bool:
+        if digits[end] - digits[start] >= 3 and letters[end] - letters[start] >= 3:
+            return False
+        return usual[end] - usual[start + 1] >= WORDS * (pairs[end] - pairs[start + 1])
+
+    return words
 
 
 def entropy_spans(run: str) -> list[tuple[int, int]]:
-    found = [(m.start() + a, m.start() + b) for k in CLASSES for m in k.pattern.finditer(run) if len(m[0]) >= k.window for a, b in hot_windows(m[0], k.window, k.limit)]
+    found = []
+    for k in CLASSES:
+        for m in k.pattern.finditer(run):
+            if len(m[0]) >= k.window:
+                found += [(m.start() + a, m.start() + b) for a, b in hot_windows(m[0], k.window, k.limit, word_windows(m[0]))]
     joined: list[list[int]] = []
     for a, b in sorted(found):
         if joined and a <= joined[-1][1]:
@@ -121,12 +180,11 @@ def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
     if runs:
         taken = sorted((s, e) for s, _, e, _ in base)
         for m in runs:
-            if len(m[0]) < 20 or allowed(m[0]):
-                continue
-            for a, b in entropy_spans(m[0]):
-                a, b = a + m.start(), b + m.start()
-                if not any(s < b and a < e for s, e in taken):
-                    more.append((a, 3, b, "entropy"))
+            for low, high in open_parts(m[0]) if len(m[0]) >= 20 else ():
+                for a, b in entropy_spans(m[0][low:high]):
+                    a, b = a + m.start() + low, b + m.start() + low
+                    if not any(s < b and a < e for s, e in taken):
+                        more.append((a, 3, b, "entropy"))
     return sorted(base + more)
 
 
