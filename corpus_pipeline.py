@@ -30,14 +30,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups' other members are the smaller side to look up; equal rows of one document stay once."""
+    """Groups' other members are the smaller side to look up. Each text of a document stays once, with the least of its other columns."""
     found = keep(near_dedup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "leaving")
     small = found.count() <= 500_000
     gone, again = found.where("not kept").select("doc_id"), found.where("kept").select("doc_id")
     rest = docs.join(F.broadcast(found.select("doc_id")) if small else found.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
     if not again.limit(1).count():
         return rest
-    once = docs.join(again, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id"])
+    once = docs.join(again, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    once = once.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("o")).select("doc_id", "text", "o.lang", "o.source", "o.n_chars")
     return rest.unionByName(once)
 
 

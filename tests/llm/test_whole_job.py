@@ -5,6 +5,7 @@ import string
 
 import pytest
 
+import corpus_pipeline
 from citeloom.llm import secrets
 
 SECRET = "qX7vB2nM9kL4pR8tW3zY6cF1"
@@ -41,3 +42,12 @@ def test_words_and_identifiers_are_no_secrets():
 
 def test_long_runs_take_linear_time():
     assert entropy_of("9" * 200_000 + "/" + "sample" * 20_000 + "/" + SECRET) == ["/" + SECRET]
+
+
+def test_near_stage_keeps_every_text_of_a_document(spark):
+    one, two = "one text with enough words of its own to be told from others", "quite another piece that shares nothing with what stands above it"
+    rows = [(1, one, "b"), (1, one, "a"), (1, two, "c"), (2, "a third document that stands alone among all of these rows", "a")]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for shuffled in (docs, docs.orderBy("source"), docs.orderBy(docs["source"].desc())):
+        got = corpus_pipeline.near_stage(spark, shuffled, "").collect()
+        assert sorted((r["doc_id"], r["text"], r["source"]) for r in got) == sorted([(1, one, "a"), (1, two, "c"), rows[3]])
