@@ -6,7 +6,7 @@ threshold is the score quantile that the share of bad labels gives, and scores a
 quantile maps to 0.7 of a logistic curve.
 
 The fit uses at most max_labelled rows of each label (picked by a hash of doc_id, documented bound);
-scoring reads every row and whole texts. Inputs are text statistics only.
+the quantile is that of all labelled rows outside the held-out quarter. Scoring reads every row and whole texts. Inputs are text statistics only.
 
 Null and empty texts get the score of a text without any words. Labels that are null or of unknown
 documents are ignored; of several labels of a document the largest counts. Without both labels nothing
@@ -17,7 +17,7 @@ ids and extra columns change nothing; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice
 from operator import eq
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_or_empty
+from .common import arrow_map, keep, text_or_empty
 
 CUT = 0.7
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
@@ -75,8 +75,8 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.threshold, -30, 30)) * (1 - CUT) / CUT)
 
 
-def fit_ranking(x: np.ndarray, good: np.ndarray, bad_share: float, pairs_each: int = 48, ridge: float = 1e-3) -> Ranking:
-    """x: a row of features for each labelled document; bad_share: among all labels, for the quantile."""
+def fit_ranking(x: np.ndarray, good: np.ndarray, pairs_each: int = 48, ridge: float = 1e-3) -> Ranking:
+    """x: a row of features for each labelled document. The threshold is still to be set."""
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1
     z = (x - mean) / scale
@@ -95,20 +95,50 @@ def fit_ranking(x: np.ndarray, good: np.ndarray, bad_share: float, pairs_each: i
         w = w + step
         if np.abs(step).max() < 1e-7:
             break
-    raw = z @ w
-    weight = np.where(good, (1 - bad_share) / max(1, good.sum()), bad_share / max(1, (~good).sum()))
-    order = np.argsort(raw, kind="stable")
-    reached = np.cumsum(weight[order])
-    at = min(int(np.searchsorted(reached, bad_share - 1e-12)), len(raw) - 2)
-    return Ranking(mean, scale, w, float((raw[order[at]] + raw[order[at + 1]]) / 2))
+    return Ranking(mean, scale, w, 0.0)
+
+
+#: Scores that the driver sorts; more are narrowed down by histograms first.
+FEW_SCORES, BINS = 20_000, 1024
+
+
+def neighbours_at(scores: DataFrame, k: int) -> tuple[float, float]:
+    """The k-th and the next smallest value (from 0) of the column raw; exact, the driver gets FEW_SCORES rows or BINS counts at most."""
+    while True:
+        n, low, high = scores.agg(F.count("*"), F.min("raw"), F.max("raw")).first()
+        if n <= FEW_SCORES:
+            found = sorted(r["raw"] for r in scores.collect())
+            return found[k], found[k + 1]
+        place = F.least(F.floor((F.col("raw") - low) / F.lit((high - low) / BINS or 1.0)), F.lit(BINS - 1))
+        bins = sorted(map(tuple, scores.groupBy(place.alias("bin")).agg(F.count("*"), F.min("raw"), F.max("raw")).collect()))
+        ends = np.cumsum([b[1] for b in bins])
+        first, second = (int(np.searchsorted(ends, i, side="right")) for i in (k, k + 1))
+        if all(bins[b][2] == bins[b][3] for b in (first, second)):
+            return bins[first][2], bins[second][2]
+        scores = scores.where(F.col("raw").between(bins[first][2], bins[second][3]))
+        k -= int(ends[first]) - bins[first][1]
+
+
+def label_threshold(docs: DataFrame, known: DataFrame, ranking: Ranking) -> float:
+    """Between the scores of as many labelled rows as are bad and the next one. Texts stay where they are: only scores meet labels."""
+
+    def work():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x = np.array([features(t.as_buffer().to_pybytes()) for t in batch.column(1)]).reshape(-1, N_FEATURES)
+            raw = ((x - ranking.mean) / ranking.scale * ranking.weights).sum(1)  # equal texts have equal scores in any batch
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], names=["doc_id", "raw"])
+
+        return step
+
+    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    scores = keep(arrow_map(texts, "doc_id long, raw double", work).join(known, "doc_id").select("doc_id", "quality", "raw").distinct(), "label_scores")
+    low, high = neighbours_at(scores.select("raw"), scores.where("quality < 1").count() - 1)
+    return (low + high) / 2
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> Ranking | None:
-    """Fit on labels outside the held-out quarter, at most max_labelled rows of each label."""
+    """Fit on labels outside the held-out quarter, at most max_labelled rows of each label; the threshold is of all of them."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = {r["good"]: r["n"] for r in known.groupBy((F.col("quality") >= 1).alias("good")).agg(F.count("*").alias("n")).collect()}
-    if len(share) < 2:
-        return None
     pick = F.xxhash64(F.col("doc_id"), F.lit(17))
     sample = known.where("quality >= 1").orderBy(pick, "doc_id").limit(max_labelled).unionByName(known.where("quality < 1").orderBy(pick, "doc_id").limit(max_labelled))
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
@@ -124,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> Ranki
     good = np.array([r["quality"] >= 1 for r in rows])
     if not len(rows) or good.all() or not good.any():
         return None
-    return fit_ranking(np.array([r["x"] for r in rows]), good, share[False] / (share[False] + share[True]))
+    ranking = fit_ranking(np.array([r["x"] for r in rows]), good)
+    return replace(ranking, threshold=label_threshold(docs, known, ranking))
 
 
 def score_documents(docs: DataFrame, ranking: Ranking | None, carry: tuple[str, ...] = ()) -> DataFrame:

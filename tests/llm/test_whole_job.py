@@ -2,11 +2,13 @@
 
 import random
 import string
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from citeloom.llm import secrets
+from citeloom.llm import quality, secrets
 
 SECRET = "qX7vB2nM9kL4pR8tW3zY6cF1"
 
@@ -51,3 +53,25 @@ def test_near_stage_keeps_every_text_of_a_document(spark):
     for shuffled in (docs, docs.orderBy("source"), docs.orderBy(docs["source"].desc())):
         got = corpus_pipeline.near_stage(spark, shuffled, "").collect()
         assert sorted((r["doc_id"], r["text"], r["source"]) for r in got) == sorted([(1, one, "a"), (1, two, "c"), rows[3]])
+
+
+@pytest.mark.parametrize("few", [20_000, 5])
+def test_quality_cut_is_of_all_labelled_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(quality, "FEW_SCORES", few)
+    monkeypatch.setattr(quality, "BINS", 7)
+    r = random.Random(6)
+    words = "river stone quiet morning light over small town where people walk home".split()
+    rows, labels = [], []
+    for i in range(400):
+        text = " ".join(r.choice(words) + ("***" if r.random() < (i % 10) / 12 else "") for _ in range(r.randint(20, 90)))
+        rows.append((i, text))
+        labels.append((i, int(r.random() > (i % 10) / 10), 0))
+    rows += [(1000 + i, "the very same text") for i in range(60)]
+    labels += [(1000 + i, i % 2, 0) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string")
+    known = spark.createDataFrame(labels + [(10**6 + i, 0, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    ranking = quality.train(docs, known, max_labelled=25)
+    used = [(t.encode(), q) for (d, t), (_, q, _) in zip(rows, labels, strict=True) if zlib.crc32(str(d).encode()) % 4 != 2]
+    raw = sorted(ranking.raw(np.array([quality.features(t) for t, _ in used])))
+    bad = sum(q == 0 for _, q in used)
+    assert ranking.threshold == pytest.approx((raw[bad - 1] + raw[bad]) / 2, abs=1e-9)
