@@ -202,7 +202,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         "email": F.when(at, _matches(F.col("dotted"), EMAIL)).otherwise(none),
         "ip": F.when(F.col("has_digits"), _matches(F.col("text"), IP)).otherwise(none),
         "card": F.when(F.col("has_digits"), _matches(F.col("joined"), CARD)).otherwise(none),
-        "phone": F.when(F.col("has_digits") & F.col("text").contains("+"), _matches(F.col("text"), PHONE)).otherwise(none),
+        "phone": F.when(F.col("text").contains("+") & F.col("text").rlike("[+][0-9]"), _matches(F.col("text"), PHONE)).otherwise(none),
         "ssn": F.when(F.col("has_digits"), _matches(F.col("text"), SSN)).otherwise(none),
         "iban": F.when(F.col("has_digits"), _matches(F.col("text"), IBAN)).otherwise(none),
         "local_phone": F.when(F.col("has_digits"), _matches(F.col("text"), LOCAL_PHONE)).otherwise(none),

@@ -1,5 +1,6 @@
 """Corpus operators where they once looked at a part: secrets of few digits and beside allowed parts."""
 
+import hashlib
 import random
 import string
 import zlib
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from citeloom.llm import quality, secrets
+from citeloom.llm import pii, quality, secrets
 
 SECRET = "qX7vB2nM9kL4pR8tW3zY6cF1"
 
@@ -75,3 +76,10 @@ def test_quality_cut_is_of_all_labelled_rows(spark, monkeypatch, few):
     raw = sorted(ranking.raw(np.array([quality.features(t) for t, _ in used])))
     bad = sum(q == 0 for _, q in used)
     assert ranking.threshold == pytest.approx((raw[bad - 1] + raw[bad]) / 2, abs=1e-9)
+
+
+def test_phone_of_single_digits(spark):
+    text = "call +4 - 9 - 1 - 7 - 2 - 3 - 4 - 5 - 6 - 7 now"
+    row = pii.pii_spans(spark.createDataFrame([(1, text), (2, "a + b, + 4 - 9")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_phone"] for r in row] == [1, 0]
+    assert row[0]["base_sha256"] == hashlib.sha256(f"phone:5:{len(text) - 4}".encode()).hexdigest()
