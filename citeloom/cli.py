@@ -36,25 +36,23 @@ def settings(c: Config) -> Settings:
     )
 
 
-def assign_seed_authors(spark: SparkSession, nodes: DataFrame, lifetime: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Authors of fresh nodes in (year, id) order by the same growth rule: nodes with author_id, and authors."""
-    machine = au.AuthorGrowth({}, {}, lifetime, seed)
-    given = [(r["node_id"], machine.next_author(r["year"], frozenset(), r["node_id"])) for r in nodes.select("node_id", "year").orderBy("year", "node_id").toLocalIterator()]
-    rows = spark.createDataFrame(given, "node_id long, author_id long")
-    authors = spark.createDataFrame([(a, machine.birth[a], n, None) for a, n in machine.pubs.items()], "author_id long, birth_year int, pub_count long, cartel_id int")
-    return nodes.join(rows, "node_id"), authors
-
-
 def seed_reputations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """initial_author_reputation of fresh nodes: the h-index of the author's papers up to the node's year, by final degrees."""
-    degree = gr.in_degrees(nodes, edges)
-    papers = nodes.select("node_id", "author_id", "year").join(degree, "node_id")
-    earlier = papers.select("author_id", F.col("year").alias("py"), F.col("in_degree").alias("d"))
-    pairs = papers.select("node_id", "author_id", "year").join(earlier, "author_id").where("py <= year")
-    counted = pairs.groupBy("node_id", "d").agg(F.count("*").alias("n"))
-    reach = F.sum("n").over(Window.partitionBy("node_id").orderBy(F.col("d").desc()))
-    h = counted.withColumn("h", F.least(reach, "d")).groupBy("node_id").agg(F.max("h").cast("int").alias("initial_author_reputation"))
-    return nodes.join(h, "node_id", "left")
+    """initial_author_reputation of fresh nodes: the h-index of the author's papers up to the node's year, by final degrees.
+
+    A paper of g citations counts for the levels 1 to min(g, the author's final h-index). The d-th paper of
+    level d, by year, is when the author reaches d; so levels are counted, papers never meet each other.
+    """
+    degree = keep(gr.in_degrees(nodes, edges), "degree")
+    final = gr.author_h_index(nodes, degree)
+    papers = nodes.select("node_id", "author_id", "year").join(degree, "node_id").join(final, "author_id")
+    levels = papers.where("least(in_degree, h) > 0").select("author_id", "year", F.explode(F.sequence(F.lit(1).cast("long"), F.least("in_degree", "h"))).alias("level"))
+    counts = levels.groupBy("author_id", "level", "year").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("author_id", "level").orderBy("year"))
+    reached = counts.withColumn("so_far", so_far).where("so_far >= level").groupBy("author_id", "level").agg(F.min("year").alias("year"))
+    steps = reached.groupBy("author_id", "year").agg(F.count("*").alias("up")).unionByName(nodes.select("author_id", "year", F.lit(0).cast("long").alias("up")).distinct())
+    h = F.sum("up").over(Window.partitionBy("author_id").orderBy("year"))
+    by_year = steps.groupBy("author_id", "year").agg(F.sum("up").alias("up")).select("author_id", "year", h.cast("int").alias("initial_author_reputation"))
+    return nodes.join(by_year, ["author_id", "year"], "left")
 
 
 def simulate(spark: SparkSession, c: Config) -> State:
@@ -65,8 +63,8 @@ def simulate(spark: SparkSession, c: Config) -> State:
         authors = readers.checkpoint_authors(nodes)
         nodes = nodes.drop("in_degree", "out_degree", "cartel_id", "final_author_reputation", *([] if c.keep_fitness else ["num_authors"]))
     else:
-        nodes, authors = assign_seed_authors(spark, readers.read_nodelist(spark, c.nodelist), c.author_max_lifetime, c.seed)
-        nodes = seed_reputations(keep(nodes, "seeds"), edges)
+        nodes, authors = au.first_authors(readers.read_nodelist(spark, c.nodelist), c.author_max_lifetime, c.seed)
+        nodes = seed_reputations(nodes, edges)
     unknown = gr.node_set(edges).join(nodes, "node_id", "left_anti").limit(1).count()
     if unknown:
         raise ValueError("an edge has an end that the node list lacks")
@@ -99,7 +97,6 @@ def main(argv: list[str] | None = None) -> int:
     handler.setFormatter(LogFormat())
     logging.basicConfig(level=logging.INFO if c.log_level >= 1 else logging.WARNING, handlers=[handler])
     spark = SparkSession.builder.appName("citeloom").getOrCreate()
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2000")
     state = simulate(spark, c)
     logging.info("years simulated: %s", c.num_cycles)
     write(spark, state, c)

@@ -30,3 +30,26 @@ def u_sql(purpose: str, *parts: str | int, seed: int = 0) -> str:
 def pick(draw: Column, n: Column | int) -> Column:
     """An index 0 .. n-1 from a draw."""
     return F.floor(draw * n).cast("long")
+
+
+#: A line of numbers is named by two seeds under SEEDS and costs no digest a number: squares modulo a prime.
+PRIME, STRIDE, SEEDS = (1 << 31) - 1, 1_103_515_245, 1 << 28
+
+
+def line_seeds(draw, purpose: str, *parts: Column | str | int) -> Column:
+    """The seeds (a, b) of a line, from two draws."""
+    return F.struct(pick(draw(f"{purpose}_a", *parts), SEEDS).alias("a"), pick(draw(f"{purpose}_b", *parts), SEEDS).alias("b"))
+
+
+def line_number(seeds: Column, n: Column) -> Column:
+    """The n-th number, 0 .. PRIME - 1, of a line."""
+    x = (seeds["a"] + n * STRIDE) % PRIME
+    y = x * x % PRIME + seeds["b"]
+    return y * y % PRIME
+
+
+def line_sql(a: str, b: str, n: str) -> str:
+    """DuckDB text of line_number()."""
+    x = f"(({a} + {n} * {STRIDE}::bigint) % {PRIME})"
+    y = f"({x} * {x} % {PRIME} + {b})"
+    return f"({y} * {y} % {PRIME})"

@@ -1,6 +1,7 @@
 """Neighbourhoods of generator nodes, recency bins and cluster candidates.
 
-picks(agent, generator); adjacency(node_id, neighbor) holds both directions once.
+picks(agent, generator); adjacency(node_id, neighbor) holds both directions once; placed(adjacency) numbers
+every node's neighbours, so that a sample of them is drawn as numbers first and only the drawn rows are read.
 """
 
 from __future__ import annotations
@@ -8,64 +9,142 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rng import PRIME, line_number, line_seeds
 from ..functions.scores import bin_index
+from ..plans.state import keep
+
+#: Neighbour ids that are numbered in one place; a hub's list is cut into such ranges.
+RANGE = 1 << 20
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Undirected neighbours, each pair once a direction."""
+    """Undirected neighbours, each pair once a direction; no node is its own neighbour."""
     there = F.struct(F.col("source").alias("node_id"), F.col("target").alias("neighbor"))
     back = F.struct(F.col("target").alias("node_id"), F.col("source").alias("neighbor"))
-    return edges.select(F.explode(F.array(there, back)).alias("e")).select("e.node_id", "e.neighbor").distinct()
+    return edges.where("source <> target").select(F.explode(F.array(there, back)).alias("e")).select("e.node_id", "e.neighbor").distinct()
 
 
-def one_hop(picks: DataFrame, adj: DataFrame) -> DataFrame:
-    """agent, candidate: the generator's neighbours without itself."""
-    near = picks.join(adj, picks["generator"] == adj["node_id"]).where("neighbor <> generator")
-    return near.select("agent", F.col("neighbor").alias("candidate")).distinct()
+def placed(adj: DataFrame) -> DataFrame:
+    """node_id, place (0, 1, ... by neighbour id), neighbor, degree of the node, neighbor_degree.
 
+    A list is numbered range by range, so that no task sorts a hub's whole list.
+    """
+    cut = adj.withColumn("_range", F.floor(F.col("neighbor") / RANGE))
+    counts = cut.groupBy("node_id", "_range").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("node_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("node_id", "_range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_start"), F.sum("n").over(Window.partitionBy("node_id")).alias("degree"))
+    within = F.row_number().over(Window.partitionBy("node_id", "_range").orderBy("neighbor")) - 1
+    numbered = cut.withColumn("_n", within).join(starts, ["node_id", "_range"])
+    numbered = keep(numbered.select("node_id", (F.col("_start") + F.col("_n")).cast("long").alias("place"), "neighbor", "degree"), "numbered")
+    degrees = numbered.where("place = 0").select(F.col("node_id").alias("neighbor"), F.col("degree").alias("neighbor_degree"))
+    return numbered.join(degrees, "neighbor").select("node_id", "place", "neighbor", "degree", "neighbor_degree")
 
-def two_hop(picks: DataFrame, adj: DataFrame, parents: DataFrame, near: DataFrame) -> DataFrame:
-    """agent, parent, candidate: neighbours of parents outside near and generators (near is the whole
-    first hop: nodes that a cap left out stay visited). Other columns of parents are kept."""
-    more = [c for c in parents.columns if c not in ("agent", "candidate")]
-    reach = parents.select("agent", F.col("candidate").alias("parent"), *more).join(adj, F.col("parent") == adj["node_id"])
-    reach = reach.select("agent", "parent", F.col("neighbor").alias("candidate"), *more)
-    seen = near.select("agent", "candidate").unionByName(picks.select("agent", F.col("generator").alias("candidate")))
-    return reach.join(seen, ["agent", "candidate"], "left_anti").select("agent", "parent", "candidate", *more)
 
+def drawn_places(degree: Column, want: Column, few: int, seeds: Column) -> Column:
+    """The first want (at most degree) places 0 .. degree - 1 in a random order that the line seeds name.
 
-def capped(near: DataFrame, cap: int, draw: Column) -> DataFrame:
-    """A uniform sample of at most cap candidates an agent."""
-    order = Window.partitionBy("agent").orderBy(draw, "candidate")
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
+    Up to few places are ordered by a number each. Of more, numbers 1, 2, ... of the line draw places with
+    replacement and repeats are skipped; after 2 * degree draws what is left follows in order. A prefix never
+    depends on want.
+    """
+    whole = F.sequence(F.lit(0).cast("long"), degree.cast("long") - 1)
 
+    def ordered(s: Column) -> Column:
+        return F.transform(F.array_sort(F.transform(whole, lambda p: F.struct(line_number(s, p).alias("u"), p.alias("p")))), lambda x: x["p"])
 
-def capped_far(far: DataFrame, cap: int, parent_draw: Column, child_draw: Column) -> DataFrame:
-    """At most cap second-hop candidates: parents in random order, each child owned by its first parent."""
-    own = far.withColumn("_p", parent_draw).groupBy("agent", "candidate").agg(F.min(F.struct("_p", "parent")).alias("o"))
-    order = Window.partitionBy("agent").orderBy("_owner", "_c", "candidate")
-    ranked = own.select("agent", "candidate", F.col("o._p").alias("_owner")).withColumn("_c", child_draw)
-    return ranked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).select("agent", "candidate")
+    def by_number(s: Column, last: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1).cast("long"), last.cast("long")), lambda n: F.floor(line_number(s, n) * degree / PRIME))
 
+    def thrown(s: Column) -> Column:
+        some = F.array_distinct(by_number(s, F.least(want * 3 / 2 + 64, degree * 2)))
+        every = F.array_distinct(F.concat(by_number(s, degree * 2), whole))
+        return F.when(want * 4 > degree, every).otherwise(F.transform(F.array(some), lambda x: F.when(F.size(x) >= want, x).otherwise(every))[0])
 
-def hops(picks: DataFrame, adj: DataFrame, cap: int | None, draw) -> DataFrame:
-    """agent, hop, candidate for hops 1 and 2. cap None: exact. draw(purpose, *columns) gives uniforms."""
+    # the seeds are computed once, not once a place
+    return F.transform(F.array(seeds), lambda s: F.slice(F.when(degree <= few, ordered(s)).otherwise(thrown(s)), F.lit(1), want.cast("int")))[0]
+
+
+def one_hop(picks: DataFrame, adj: DataFrame) -> DataFrame:
+    """agent, candidate: all neighbours of the generator."""
+    return picks.join(adj, picks["generator"] == adj["node_id"]).select("agent", F.col("neighbor").alias("candidate"))
+
+
+def two_hop(picks: DataFrame, adj: DataFrame) -> DataFrame:
+    """agent, candidate: neighbours of neighbours outside the first hop, exact."""
     near = one_hop(picks, adj)
-    chosen = near if cap is None else capped(near, cap, draw("cap1", "agent", "candidate"))
-    # parents get their draws before they fan out
-    parents = chosen if cap is None else chosen.withColumn("_draw", draw("cap2p", "agent", "candidate"))
-    far = two_hop(picks, adj, parents, near)
-    far = far.select("agent", "candidate").distinct() if cap is None else capped_far(far, cap, F.col("_draw"), draw("cap2c", "agent", "candidate"))
-    return chosen.select("agent", F.lit(1).alias("hop"), "candidate").unionByName(far.select("agent", F.lit(2).alias("hop"), "candidate"))
+    parents = near.withColumnRenamed("candidate", "parent")
+    reach = parents.join(adj, F.col("parent") == F.col("node_id")).select("agent", F.col("neighbor").alias("candidate")).distinct()
+    seen = near.unionByName(picks.select("agent", F.col("generator").alias("candidate")))
+    return reach.join(seen, ["agent", "candidate"], "left_anti")
+
+
+def one_hop_capped(picks: DataFrame, adj: DataFrame, cap: int, draw) -> DataFrame:
+    """agent, generator, candidate, place (rank in the sample), degree of the candidate: at most cap
+    neighbours, drawn as places before any list is read. adj is placed()."""
+    degrees = adj.where("place = 0").select(F.col("node_id").alias("generator"), "degree")
+    rows = picks.select("agent", "generator").join(degrees, "generator")
+    want = F.least(F.col("degree"), F.lit(cap))
+    drawn = F.when(F.col("degree") <= cap, F.sequence(F.lit(0).cast("long"), F.col("degree") - 1)).otherwise(drawn_places(F.col("degree"), want, 4 * cap, line_seeds(draw, "cap1", "agent")))
+    slots = rows.select("agent", "generator", F.posexplode(drawn).alias("rank", "place"))
+    lists = adj.select(F.col("node_id").alias("generator"), "place", F.col("neighbor").alias("candidate"), F.col("neighbor_degree").alias("degree"))
+    return slots.join(lists, ["generator", "place"]).select("agent", "generator", "candidate", (F.col("rank") + 1).alias("place"), "degree")
+
+
+def two_hop_capped(first: DataFrame, adj: DataFrame, cap: int, draw) -> DataFrame:
+    """agent, candidate, place: at most cap unseen neighbours of first's candidates.
+
+    Parents stand in random order, a parent's neighbours in random order; an agent takes the first cap nodes of
+    this line that are neither its generator nor any neighbour of it (also one that the first cap left out).
+    Lines are read from the front, so that nobody fans out to whole lists: a round reads a few times cap, and
+    agents that still miss some while their line goes on read eight times as much in the next round.
+    """
+    line = Window.partitionBy("agent").orderBy("_o", "parent").rowsBetween(Window.unboundedPreceding, -1)
+    parents = first.select("agent", "generator", F.col("candidate").alias("parent"), "degree").withColumn("_o", draw("cap2p", "agent", "parent"))
+    parents = parents.withColumn("before", F.coalesce(F.sum("degree").over(line), F.lit(0))).withColumn("reach", F.sum("degree").over(Window.partitionBy("agent"))).drop("_o")
+    parents = keep(parents, "parents")
+    lists = adj.select(F.col("node_id").alias("parent"), "place", F.col("neighbor").alias("candidate"))
+    near = adj.select(F.col("node_id").alias("generator"), F.col("neighbor").alias("candidate"))
+    budget, found = 2 * cap + 32, None
+    while True:
+        want = F.least(F.col("degree"), F.lit(budget) - F.col("before"))
+        places = drawn_places(F.col("degree"), want, 4 * cap, line_seeds(draw, "cap2c", "agent", "parent"))
+        slots = parents.where(F.col("before") < budget).select("agent", "generator", "parent", "before", F.posexplode(places).alias("rank", "place"))
+        read = slots.join(lists, ["parent", "place"]).where("candidate <> generator").select("agent", "generator", "candidate", (F.col("before") + F.col("rank")).alias("slot"))
+        fresh = read.join(near, ["generator", "candidate"], "left_anti").repartition("agent")
+        order = Window.partitionBy("agent").orderBy("slot")
+        own = fresh.groupBy("agent", "candidate").agg(F.min("slot").alias("slot"))
+        taken = keep(own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).select("agent", "candidate", F.col("place").cast("int").alias("place")), "second")
+        full = taken.where(F.col("place") == cap).select("agent")
+        left = keep(parents.where(F.col("reach") > budget).join(full, "agent", "left_anti"), "going_on")
+        if not left.limit(1).count():
+            return taken if found is None else found.unionByName(taken)
+        done = taken.join(left.select("agent").distinct(), "agent", "left_anti")
+        found = done if found is None else found.unionByName(done)
+        parents, budget = left, budget * 8
+
+
+def placed_hops(picks: DataFrame, adj: DataFrame, cap: int, draw) -> DataFrame:
+    """agent, hop, candidate, place: both hops under their caps, in the order in which they were drawn."""
+    first = keep(one_hop_capped(picks, adj, cap, draw), "first")
+    second = two_hop_capped(first, adj, cap, draw)
+    return first.select("agent", F.lit(1).alias("hop"), "candidate", "place").unionByName(second.select("agent", F.lit(2).alias("hop"), "candidate", "place"))
 
 
-def pooled(hopped: DataFrame, cap: int | None, draw: Column) -> DataFrame:
-    """One list under key 1; the cap is shared, nearer hops first."""
-    rows = hopped
+def hops(picks: DataFrame, adj: DataFrame, cap: int | None, draw) -> DataFrame:
+    """agent, hop, candidate for hops 1 and 2. cap None: exact. draw(purpose, *columns) gives uniforms."""
     if cap is not None:
-        order = Window.partitionBy("agent").orderBy("hop", draw, "candidate")
-        rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap)
-    return rows.select("agent", F.lit(1).alias("hop"), "candidate")
+        return placed_hops(picks, adj, cap, draw).drop("place")
+    first, second = one_hop(picks, adj), two_hop(picks, adj)
+    return first.select("agent", F.lit(1).alias("hop"), "candidate").unionByName(second.select("agent", F.lit(2).alias("hop"), "candidate"))
+
+
+def pooled(hopped: DataFrame, cap: int | None) -> DataFrame:
+    """One list under key 1. The cap is shared: the first hop comes first, then the second in the order of its
+    parents. hopped comes from placed_hops, or from hops where there is no cap."""
+    if cap is None:
+        return hopped.select("agent", F.lit(1).alias("hop"), "candidate")
+    order = Window.partitionBy("agent").orderBy("hop", "place")
+    return hopped.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).select("agent", F.lit(1).alias("hop"), "candidate")
 
 
 def binned(hopped: DataFrame, nodes: DataFrame, now: int, bounds: list[int]) -> DataFrame:

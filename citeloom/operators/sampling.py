@@ -21,17 +21,29 @@ def scored(candidates: DataFrame, metrics: DataFrame, weights: DataFrame) -> Dat
     return rows.withColumn("score", parts[0] + parts[1] + parts[2] + parts[3]).select("agent", "hop", "bin", "candidate", "score")
 
 
+def _first(rows: DataFrame, quota: Column, keys: tuple[str, ...], *order: Column | str) -> DataFrame:
+    """Adds rank and keeps ranks up to the quota. Spark cuts groups before the shuffle where a literal bound is
+    under the session's threshold; groups with larger quotas (MAX_CITATIONS at most) are ranked without that."""
+    line = Window.partitionBy(*keys).orderBy(*order)
+    bound = min(MAX_CITATIONS, int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) - 1)
+
+    def ranked(some: DataFrame, most: int) -> DataFrame:
+        return some.withColumn("rank", F.row_number().over(line)).where((F.col("rank") <= F.col("_quota")) & (F.col("rank") <= most))
+
+    quoted = rows.withColumn("_quota", quota)
+    out = ranked(quoted.where(F.col("_quota") <= bound), bound)
+    if bound < MAX_CITATIONS:
+        out = out.unionByName(ranked(quoted.where(F.col("_quota") > bound), MAX_CITATIONS))
+    return out.drop("_quota")
+
+
 def weighted_top(rows: DataFrame, quota: Column, draw: Column, keys: tuple[str, ...] = ("agent", "hop", "bin")) -> DataFrame:
-    """The quota largest keys ln(u) / score of each group; the literal bound lets Spark cut groups early."""
-    order = Window.partitionBy(*keys).orderBy(F.col("_key").desc(), "candidate")
-    ranked = rows.withColumn("_key", weighted_key(draw, F.col("score"))).withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("rank") <= quota) & (F.col("rank") <= MAX_CITATIONS)).drop("_key")
+    """The quota largest keys ln(u) / score of each group."""
+    return _first(rows.withColumn("_key", weighted_key(draw, F.col("score"))), quota, keys, F.col("_key").desc(), "candidate").drop("_key")
 
 
 def uniform_top(rows: DataFrame, quota: Column, draw: Column, keys: tuple[str, ...] = ("agent", "hop", "bin")) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("_u", "candidate")
-    ranked = rows.withColumn("_u", draw).withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("rank") <= quota) & (F.col("rank") <= MAX_CITATIONS)).drop("_u")
+    return _first(rows.withColumn("_u", draw), quota, keys, "_u", "candidate").drop("_u")
 
 
 def at_index(drawn: DataFrame, indexed: DataFrame, value: str, name: str) -> DataFrame:
@@ -44,13 +56,13 @@ def from_bag(rows: DataFrame, bag: DataFrame, size: int, draw: Column, name: str
     return at_index(rows.withColumn("idx", pick(draw, size)), bag, "value", name)
 
 
-def random_fill(wanted: DataFrame, indexed: DataFrame, size: int, taken: DataFrame, draw, slack: int = 3, rounds: int = 12) -> DataFrame:
+def random_fill(wanted: DataFrame, indexed: DataFrame, size: int, taken: DataFrame, draw, slack: int = 3, rounds: int = 4) -> DataFrame:
     """wanted(agent, f): f distinct uniform nodes an agent that are not in taken(agent, target).
 
     Indices are drawn, never the whole graph: a round draws f + slack of what is still missing, joins
     nodes by index, drops taken and repeated ones. Rounds draw new indices and double the slack until nobody misses any.
-    Who misses some after the last round has taken nearly the whole graph: what it has left is ranked by a draw for each
-    node, so it gets f or all there is. draw(agent column, number column) is the uniform.
+    Who misses some after the last round has taken most of the graph, so what it has left is no more than that: it is
+    ranked by a draw for each node, and the agent gets f or all there is. draw(agent column, number column) is the uniform.
     """
     found = None
     excluded = taken.select("agent", "target").distinct()

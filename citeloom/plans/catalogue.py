@@ -61,15 +61,32 @@ FIT_SQL = f""", fit0 as (select node_id, year, floor({us('lag', 'node_id')} * 4)
     else floor(peak / pow(({NOW} - year - lag - dur + 1)::double, 3)) end::int as fitness from fit0)"""
 INDEX_SQL = ", idx as (select node_id, row_number() over (order by node_id) - 1 as idx from nodes), total as (select count(*) as n from nodes)"
 PICK_SQL = INDEX_SQL + f", picks as (select agent, node_id as generator from (select agent, floor({us('generator', 'agent')} * n)::bigint as i from agents, total) join idx on idx = i)"
-ADJ_SQL = PICK_SQL + ", adj as (select source as a, target as b from edges union select target, source from edges)"
-NEAR_SQL = ADJ_SQL + ", near as (select distinct agent, b as candidate from picks join adj on a = generator where b <> generator)"
-CAP1_SQL = NEAR_SQL + f", cap1 as (select agent, candidate from (select *, row_number() over (partition by agent order by {us('cap1', 'agent', 'candidate')}, candidate) as n from near) where n <= {CAP})"
-FAR_SQL = "(select c.agent, c.candidate as parent, b as candidate from {parents} c join adj on a = c.candidate anti join near n on n.agent = c.agent and n.candidate = b anti join picks p on p.agent = c.agent and p.generator = b)"
+ADJ_SQL = PICK_SQL + ", adj as materialized (select a, b, row_number() over (partition by a order by b) - 1 as place, count(*) over (partition by a) as d from (select source as a, target as b from edges union select target, source from edges) where a <> b)"
+NEAR_SQL = ADJ_SQL + ", near as materialized (select agent, b as candidate from picks join adj on a = generator)"
+
+
+def places_sql(name: str, owners: str, purpose: str, *names: str) -> str:
+    """A CTE (agent, node, place, i): the drawn order of each owner's neighbours, owners(agent, node)."""
+    drawn = f"floor({rng.line_sql('sa', 'sb', 'n')} * d / {rng.PRIME}::double)::bigint"
+    return (
+        f", {name}_o as materialized (select agent, node, d, floor({us(purpose + '_a', *names)} * {rng.SEEDS})::bigint as sa, floor({us(purpose + '_b', *names)} * {rng.SEEDS})::bigint as sb from {owners} join adj on a = node and place = 0),"
+        f" {name} as materialized (select agent, node, place, row_number() over (partition by agent, node order by o, place) - 1 as i from"
+        f" (select agent, node, place, {rng.line_sql('sa', 'sb', 'place')} as o from (select agent, node, sa, sb, unnest(range(0, d)) as place from {name}_o where d <= {4 * CAP})"
+        f" union all select agent, node, place, min(n) as o from (select agent, node, {drawn} as place, n from (select agent, node, d, sa, sb, unnest(range(1, 2 * d + 1)) as n from {name}_o where d > {4 * CAP})"
+        f" union all select agent, node, unnest(range(0, d)), 2 * d + 1 from {name}_o where d > {4 * CAP}) group by all))"
+    )
+
+
+CAP1_SQL = NEAR_SQL + ", own1 as (select agent, generator as node from picks)" + places_sql("places1", "own1", "cap1", "agent") + f", cap1 as materialized (select agent, node as generator, b as candidate from places1 p join adj on a = node and adj.place = p.place where i < {CAP})"
 CAP2_SQL = (
-    CAP1_SQL + f", far0 as {FAR_SQL.format(parents='cap1')}, own as (select agent, candidate, min({us('cap2p', 'agent', 'parent')}) as o from far0 group by agent, candidate),"
-    f" cap2 as (select agent, candidate from (select *, row_number() over (partition by agent order by o, {us('cap2c', 'agent', 'candidate')}, candidate) as n from own) where n <= {CAP}),"
-    " hops as (select agent, 1 as hop, candidate from cap1 union all select agent, 2, candidate from cap2)"
+    CAP1_SQL + ", own2 as (select agent, candidate as node from cap1)" + places_sql("places2", "own2", "cap2c", "agent", "node")
+    + f""", lines as (select agent, candidate as node, coalesce(sum(d) over (partition by agent order by {us('cap2p', 'agent', 'candidate')}, candidate rows between unbounded preceding and 1 preceding), 0) as ahead from cap1 join adj on a = candidate and place = 0),
+  fresh as (select p.agent, b as candidate, min(ahead + i) as slot from places2 p join lines using (agent, node) join adj on a = node and adj.place = p.place
+    anti join near n on n.agent = p.agent and n.candidate = b anti join picks g on g.agent = p.agent and g.generator = b group by 1, 2),
+  cap2 as materialized (select agent, candidate, n from (select *, row_number() over (partition by agent order by slot) as n from fresh) where n <= {CAP}),
+  hops as (select agent, 1 as hop, candidate from cap1 union all select agent, 2, candidate from cap2)"""
 )
+FAR_SQL = "(select c.agent, b as candidate from near c join adj on a = c.candidate anti join near n on n.agent = c.agent and n.candidate = b anti join picks p on p.agent = c.agent and p.generator = b)"
 BINNED_SQL = CAP2_SQL + f", binned as (select agent, hop, candidate, {BIN_SQL.format(a=f'({NOW} - year)')} as bin from hops join nodes on node_id = candidate)"
 METRIC_SQL = (
     DEG_SQL + H_SQL + FIT_SQL + f""", metric as (select node_id, {POWER_SQL.format(x='in_degree')} as pa, {POWER_SQL.format(x='fitness')} as fit, {POWER_SQL.format(x='num_authors')} as na, {POWER_SQL.format(x='h')} as ar
@@ -102,8 +119,12 @@ def generator_picks(v: Views) -> DataFrame:
     return ag.pick_generators(v.agents, indexed, indexed.count(), u("generator", "agent"))
 
 
+def placed_hops(v: Views) -> DataFrame:
+    return ne.placed_hops(generator_picks(v), v.adjacency, CAP, u)
+
+
 def capped_hops(v: Views) -> DataFrame:
-    return ne.hops(keep(generator_picks(v), "picks"), ne.adjacency(v.edges), CAP, u)
+    return placed_hops(v).drop("place")
 
 
 def binned_hops(v: Views) -> DataFrame:
@@ -225,17 +246,17 @@ def bin_index_cases(v: Views) -> DataFrame:
 
 @query(NEAR_SQL + " select agent, candidate from near")
 def one_hop(v: Views) -> DataFrame:
-    return ne.one_hop(generator_picks(v), ne.adjacency(v.edges))
+    return ne.one_hop(generator_picks(v), v.adjacency)
 
 
-@query(NEAR_SQL + f" select distinct agent, candidate from {FAR_SQL.format(parents='near')}")
+@query(NEAR_SQL + f" select distinct agent, candidate from {FAR_SQL}")
 def two_hop(v: Views) -> DataFrame:
-    return ne.hops(keep(generator_picks(v), "picks"), ne.adjacency(v.edges), None, u).where("hop = 2").select("agent", "candidate")
+    return ne.two_hop(keep(generator_picks(v), "picks"), v.adjacency)
 
 
 @query(CAP1_SQL + " select agent, candidate from cap1")
 def one_hop_capped(v: Views) -> DataFrame:
-    return ne.capped(ne.one_hop(generator_picks(v), ne.adjacency(v.edges)), CAP, u("cap1", "agent", "candidate"))
+    return ne.one_hop_capped(generator_picks(v), v.adjacency, CAP, u).select("agent", "candidate")
 
 
 @query(CAP2_SQL + " select agent, candidate from cap2")
@@ -243,9 +264,9 @@ def two_hop_capped(v: Views) -> DataFrame:
     return capped_hops(v).where("hop = 2").select("agent", "candidate")
 
 
-@query(CAP2_SQL + f" select agent, 1 as hop, candidate from (select agent, candidate, row_number() over (partition by agent order by hop, {us('pool', 'agent', 'candidate')}, candidate) as n from hops) where n <= 25")
+@query(CAP2_SQL + " select agent, 1 as hop, candidate from cap1 union all select agent, 1, candidate from cap2 join (select agent, count(*) as n1 from cap1 group by agent) using (agent) where n <= 25 - n1")
 def pooled_hop(v: Views) -> DataFrame:
-    return ne.pooled(capped_hops(v), 25, u("pool", "agent", "candidate"))
+    return ne.pooled(placed_hops(v), 25)
 
 
 @query(BINNED_SQL + " select agent, hop, bin, count(*) as n from binned group by agent, hop, bin")
@@ -258,12 +279,11 @@ def cluster_sizes(v: Views) -> DataFrame:
     return ne.cluster_sizes(v.nodes, 2000)
 
 
-CLUSTER_SQL = PICK_SQL + ", own as (select agent, generator, cluster_id from picks join nodes on node_id = generator where agent % 7 = 0)"
+CLUSTER_SQL = PICK_SQL + ", own as (select agent, generator, cluster_id from picks join nodes on node_id = generator)"
 
 
 @query(CLUSTER_SQL + " select agent, node_id as candidate from own join nodes using (cluster_id) where node_id <> generator and year < 2001")
 def cluster_candidates(v: Views) -> DataFrame:
-    """All agents. The SQL has those of agent % 7 = 0 only."""
     picks = ag.inherit_cluster(generator_picks(v), v.nodes)
     return ne.cluster_candidates(picks, v.nodes, NOW)
 
@@ -362,14 +382,25 @@ def uniform_topk(v: Views) -> DataFrame:
     return sa.uniform_top(binned_hops(v), F.lit(3), u("uni", "agent", "candidate")).select("agent", "hop", "bin", "candidate")
 
 
-@query(NEAR_SQL + f""", f as (select agent, (agent % 5)::int as f from agents where agent % 5 > 0), d as (select agent, f, unnest(range(1, f + 4)) as n from f),
-  hit as (select d.agent, d.f, d.n, i.node_id as target from d, total t join idx i on i.idx = floor({us('fill', 'd.agent', 'd.n')} * t.n)::bigint),
-  fresh as (select agent, f, target, min(n) as n from hit anti join near on near.agent = hit.agent and near.candidate = hit.target group by all)
-  select agent, target from (select *, row_number() over (partition by agent order by n) as rank from fresh) where rank <= f""")
+def fill_sql(rounds: int) -> str:
+    """So many rounds of draws one after the other; every agent is filled long before they are over."""
+    out, found = ", left0 as (select agent, (agent % 5)::int as f from agents where agent % 5 > 0)", "select agent, target from new{}"
+    for r in range(rounds):
+        taken = " union all ".join(["select agent, candidate as target from near", *(found.format(k) for k in range(r))])
+        out += (
+            f", draws{r} as (select agent, f, unnest(range(1, (f * {1 << min(r, 6)} + 3 + 1)::int)) + {r * 100_000} as n from left{r}),"
+            f" hit{r} as (select d.agent, d.f, d.n, i.node_id as target from draws{r} d, total t join idx i on i.idx = floor({us('fill', 'd.agent', 'd.n')} * t.n)::bigint),"
+            f" fresh{r} as (select h.agent, h.f, h.target, min(h.n) as n from hit{r} h anti join ({taken}) x on x.agent = h.agent and x.target = h.target group by all),"
+            f" new{r} as materialized (select agent, target from (select *, row_number() over (partition by agent order by n) as rank from fresh{r}) where rank <= f),"
+            f" left{r + 1} as materialized (select agent, f - coalesce(got, 0) as f from left{r} left join (select agent, count(*) as got from new{r} group by agent) using (agent) where f > coalesce(got, 0))"
+        )
+    return out + " " + " union all ".join(found.format(k) for k in range(rounds))
+
+
+@query(NEAR_SQL + fill_sql(4))
 def random_fill(v: Views) -> DataFrame:
-    """Filled to the end. The SQL has the first round only: rows differ where an agent needs another one."""
     indexed = keep(gr.dense_ids(v.nodes), "index")
-    cited = ne.one_hop(generator_picks(v), ne.adjacency(v.edges)).select("agent", F.col("candidate").alias("target"))
+    cited = ne.one_hop(generator_picks(v), v.adjacency).select("agent", F.col("candidate").alias("target"))
     wanted = v.agents.select("agent", (F.col("agent") % 5).cast("int").alias("f"))
     return sa.random_fill(wanted, indexed, indexed.count(), cited, lambda a, n: u("fill", a, n)).select("agent", "target")
 
@@ -509,10 +540,7 @@ def lotka_first_deficit(v: Views) -> DataFrame:
 @query()
 def author_assignment(v: Views) -> DataFrame:
     """agent, author_id: authors that the inverse-square law asks for, the agents in id order."""
-    rows = v.authors.collect()
-    growth = au.AuthorGrowth({r["author_id"]: r["birth_year"] for r in rows}, {r["author_id"]: r["pub_count"] for r in rows}, 30)
-    given = [(r["agent"], growth.next_author(NOW, frozenset(), r["agent"])) for r in v.agents.select("agent").orderBy("agent").collect()]
-    return v.spark.createDataFrame(given, "agent long, author_id long")
+    return au.grow(v.agents.select("agent"), v.authors.withColumn("cartel_id", F.lit(None).cast("int")), NOW, 30)[0]
 
 
 PLANTED_ROWS = [(1, 2, 7, 0.9), (1, 3, None, 0.1), (2, 4, 11, None), (1, 5, 250, None)]
@@ -566,9 +594,8 @@ def nodelist_export(v: Views) -> DataFrame:
     return nodelist_rows(rows, gr.degrees(v.nodes, v.edges), None, None).select("node_id", "type", "year", F.col("alpha").cast("double").alias("alpha"), "out_degree", "in_degree", "generator_node_string", "cartel_id", "cluster_id")
 
 
-@query(" select source as node_id, string_agg(target::varchar, ';' order by target) as encoded, count(*)::int as n from edges where source % 5 = 0 group by source")
+@query(" select source as node_id, string_agg(target::varchar, ';' order by target) as encoded, count(*)::int as n from edges group by source")
 def generator_string_roundtrip(v: Views) -> DataFrame:
-    """All sources. The SQL has those of source % 5 = 0 only."""
     lists = v.edges.groupBy(F.col("source").alias("node_id")).agg(F.array_sort(F.collect_list("target")).alias("t"))
     encoded = lists.select("node_id", scores.int_list(F.col("t")).alias("encoded"))
     return encoded.withColumn("back", scores.parse_int_list(F.col("encoded"))).select("node_id", scores.int_list(F.col("back")).alias("encoded"), F.size("back").alias("n"))
@@ -584,14 +611,10 @@ def edge_validity(v: Views) -> DataFrame:
     return gr.valid_edges(v.edges_all, v.nodes)
 
 
-#: The edges that the recursive SQL walks.
-FEW = "source % 4 = 0 and target % 3 = 0"
-
-
-@query(f""", e as (select source, target from edges where {FEW}), n as (select source as node_id from e union select target from e), b as (select source as x, target as y from e union select target, source from e),
-  walk(node_id, reached) as (select node_id, node_id from n union select walk.node_id, y from walk join b on x = reached) select node_id, min(reached) as component from walk group by node_id""")
+@query(""", b as materialized (select source as x, target as y from edges union select target, source from edges),
+  walk(node_id, component) using key (node_id) as (select node_id, node_id from nodes
+    union (select y, min(w.component) from walk w join b on w.node_id = x join recurring.walk r on r.node_id = y where w.component < r.component group by y)) select node_id, component from walk""")
 def connected_components(v: Views) -> DataFrame:
-    """The whole network. The SQL walks only the edges of FEW, so its rows are others."""
     return co.connected_components(v.nodes.select("node_id"), v.edges)
 
 

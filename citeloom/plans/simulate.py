@@ -1,8 +1,8 @@
 """The yearly simulation: snapshot, spawn, neighbourhoods, quotas, selection, fill, commit.
 
-State between years is tables in the shared folder. All randomness is hashed, so a run can be repeated
-and a lost task redone. What reaches the driver is counts, bags of draws' sizes and the author state
-machine's ids, never edges.
+State between years is tables in the shared folder: a year adds its nodes and edges and rewrites none.
+All randomness is hashed, so a run can be repeated and a lost task redone. What reaches the driver is
+counts, the sizes of bags and what the configuration names, never nodes, authors or edges.
 """
 
 from __future__ import annotations
@@ -87,13 +87,19 @@ def indexed_bag(values: DataFrame, spark: SparkSession) -> tuple[DataFrame, int]
     return ranges, ranges.agg(F.sum("n")).first()[0] or 0
 
 
+#: Equal pieces of a bag's index: a draw meets only the values of its piece.
+PIECES = 1024
+
+
 def draw_from(rows: DataFrame, bag: DataFrame, size: int, draw: Column, name: str) -> DataFrame:
     """A uniform member of the bag for each row: its index falls into the range of one value."""
     if not size:
         return rows.withColumn(name, F.lit(1))
-    r = F.broadcast(bag.select("start", (F.col("start") + F.col("n")).alias("end"), F.col("value").alias(name)))
-    out = rows.withColumn("_i", rng.pick(draw, size))
-    return out.join(r, (F.col("_i") >= F.col("start")) & (F.col("_i") < F.col("end"))).drop("_i", "start", "end")
+    piece = -(-size // PIECES)
+    ranges = bag.select(F.col("start").alias("_start"), (F.col("start") + F.col("n")).alias("_end"), F.col("value").alias(name))
+    ranges = ranges.withColumn("_p", F.explode(F.sequence(F.floor(F.col("_start") / piece), F.floor((F.col("_end") - 1) / piece))))
+    out = rows.withColumn("_i", rng.pick(draw, size)).withColumn("_p", F.floor(F.col("_i") / piece))
+    return out.join(ranges, "_p").where((F.col("_i") >= F.col("_start")) & (F.col("_i") < F.col("_end"))).drop("_i", "_p", "_start", "_end")
 
 
 def one_year(spark: SparkSession, state: State, s: Settings, now: int, out_degrees: DataFrame, num_authors: DataFrame, probabilities: list[float], planted: DataFrame | None = None, clonal: DataFrame | None = None, relative_year: int = 1) -> Year:
@@ -133,19 +139,10 @@ def one_year(spark: SparkSession, state: State, s: Settings, now: int, out_degre
     new = keep(new, "agents")
     real = state.authors.where("cartel_id is not null")
     cartel = ag.schedule_cartel_authors(new.where("planted_line is null"), real)
-    scheduled = {r["agent"]: r["author_id"] for r in cartel.collect()}
-    known = {r["author_id"]: r for r in state.authors.collect()}
-    machine = au.AuthorGrowth({a: r["birth_year"] for a, r in known.items()}, {a: r["pub_count"] for a, r in known.items()}, s.lifetime, s.seed)
-    barred = frozenset(a for a, r in known.items() if r["cartel_id"] is not None)
-    given = []
-    for r in new.select("agent", "author_id").orderBy("agent").toLocalIterator():
-        own = r["author_id"] if r["author_id"] is not None else scheduled.get(r["agent"])
-        given.append((r["agent"], machine.give(own, now) if own is not None else machine.next_author(now, barred, r["agent"])))
-    assigned = spark.createDataFrame(given, "agent long, given long") if given else spark.createDataFrame([], "agent long, given long")
-    grown = [(a, machine.birth[a], n, known[a]["cartel_id"] if a in known else None) for a, n in machine.pubs.items()]
-    authors = keep(spark.createDataFrame(grown, "author_id long, birth_year int, pub_count long, cartel_id int"), "authors")
+    named = keep(new.where("author_id is not null").select("agent", "author_id").unionByName(cartel), "named")
+    assigned, authors = au.grow(new.select("agent"), state.authors, now, s.lifetime, s.seed, named)
     membership = authors.where("cartel_id is not null").select("author_id", "cartel_id")
-    new = new.drop("author_id").join(assigned.withColumnRenamed("given", "author_id"), "agent").join(membership, "author_id", "left")
+    new = new.drop("author_id").join(assigned, "agent").join(membership, "author_id", "left")
     if clonal is not None:
         wide = clonal
         for a, b in {"fit_peak_value": "fit_value", "fit_peak_duration": "fit_duration", "fit_lag_duration": "fit_lag", "pa_weight": "w_pa", "fit_weight": "w_fit", "num_authors_weight": "w_na", "author_reputation_weight": "w_ar"}.items():
@@ -169,13 +166,8 @@ def one_year(spark: SparkSession, state: State, s: Settings, now: int, out_degre
     lap("generators")
 
     # neighbourhoods
-    adj = keep(ne.adjacency(edges), "adjacency")
-    hopped = ne.hops(picks.select("agent", "generator"), adj, s.cap, u)
-    if s.theta > 0:
-        active = keep(ne.active_clusters(picks.join(new.select("agent", "alpha"), "agent"), nodes, now, s.theta), "active")
-        hopped = ne.cluster_override(hopped, active, nodes, now)
-    if not s.use_alpha:
-        hopped = ne.pooled(hopped, s.cap, u("pool", "agent", "candidate"))
+    adj = keep(ne.placed(ne.adjacency(edges)), "adjacency")
+    hopped = neighbourhoods(picks, new, nodes, adj, now, s, u)
     hopped = keep(hopped, "hops")
     lap("neighbourhoods")
 
@@ -233,6 +225,18 @@ def one_year(spark: SparkSession, state: State, s: Settings, now: int, out_degre
     return Year(new_nodes, new_edges.select("source", "target"), new_edges, authors)
 
 
+def neighbourhoods(picks: DataFrame, new: DataFrame, nodes: DataFrame, adj: DataFrame, now: int, s: Settings, u) -> DataFrame:
+    """agent, hop, candidate: with alpha two hops, the first replaced by an active cluster; without it one pooled list."""
+    start = picks.select("agent", "generator")
+    if not s.use_alpha:
+        return ne.pooled(ne.hops(start, adj, None, u) if s.cap is None else ne.placed_hops(start, adj, s.cap, u), s.cap)
+    hopped = ne.hops(start, adj, s.cap, u)
+    if s.theta > 0:
+        active = keep(ne.active_clusters(picks.join(new.select("agent", "alpha"), "agent"), nodes, now, s.theta), "active")
+        hopped = ne.cluster_override(hopped, active, nodes, now)
+    return hopped
+
+
 def _by_bins(in_bins: DataFrame, totals: DataFrame, metric: DataFrame, weights: DataFrame, probabilities: list[float], s: Settings, u, name: str) -> DataFrame:
     """Quotas by bin, then weighted choice in all bins but the last, uniform choice there."""
     bounds = list(s.bounds)
@@ -247,13 +251,20 @@ def _by_bins(in_bins: DataFrame, totals: DataFrame, metric: DataFrame, weights:
     return heavy.select("agent", "hop", "bin", "candidate").unionByName(even.select("agent", "hop", "bin", "candidate"))
 
 
+#: Years after which the parts of nodes and edges are written together, so that plans stay short.
+MERGE = 16
+
+
 def run(spark: SparkSession, state: State, s: Settings, years: int, out_degrees: DataFrame, num_authors: DataFrame, probabilities: list[float], planted: DataFrame | None = None, clonal: DataFrame | None = None) -> State:
     """So many years from the one after the newest node."""
     newest = gr.graph_nodes(state.nodes, state.edges).agg(F.max("year")).first()[0]
     s = Settings(**(s.__dict__ | {"start_year": s.start_year or newest + 1}))
     for k in range(1, years + 1):
         made = one_year(spark, state, s, newest + k, out_degrees, num_authors, probabilities, planted, clonal, k)
-        nodes = keep(state.nodes.unionByName(made.new_nodes, allowMissingColumns=True), "nodes")
-        edges = keep(gr.append_edges(state.edges, made.new_edges), "all_edges")
+        # both parts are written: a year is added, older ones are read where they lie
+        nodes = state.nodes.unionByName(made.new_nodes, allowMissingColumns=True)
+        edges = gr.append_edges(state.edges.select("source", "target"), made.new_edges)
+        if k % MERGE == 0:
+            nodes, edges = keep(nodes, "nodes"), keep(edges, "all_edges")
         state = State(nodes, edges, made.authors, state.timing)
     return state

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir; a temporary folder only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _set_dir(spark)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
         found = _set_dir(spark)
     return found.rstrip("/")
@@ -24,13 +26,18 @@ def _set_dir(spark: SparkSession) -> str | None:
     return current.get() if current.isDefined() else None
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/citeloom/{name}"
+    atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+    return path
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back: lineage ends here, and a lost executor costs a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/citeloom/{name}-{uuid.uuid4().hex}"
+    path = kept_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(jvm, hadoop, path: str) -> None:

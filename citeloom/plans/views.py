@@ -19,15 +19,16 @@ NOW = 2001
 STEPS = (3, 7, 13)
 
 SQL = """
-nodes_all as (select o_orderkey as node_id, year(o_orderdate) as year, o_custkey as author_id, cast(coalesce(na, 1) as bigint) as num_authors, c_nationkey as cluster_id
+nodes_all as materialized (select o_orderkey as node_id, year(o_orderdate) as year, o_custkey as author_id, cast(coalesce(na, 1) as bigint) as num_authors, c_nationkey as cluster_id
   from orders join customer on o_custkey = c_custkey
   left join (select l_orderkey, count(distinct l_suppkey) as na from lineitem group by l_orderkey) x on l_orderkey = o_orderkey),
-part_x as (select distinct l_partkey as p, o_orderkey as k, o_orderdate as d from lineitem join orders on l_orderkey = o_orderkey),
-part_r as (select *, row_number() over (partition by p order by d, k) as rn from part_x),
-edges_all as (select distinct a.k as source, b.k as target from part_r a join part_r b on a.p = b.p and a.rn - b.rn in (3, 7, 13) and year(a.d) > year(b.d)),
-edges as (select source, target from edges_all join nodes_all on source = node_id where year <= 2000),
+part_x as materialized (select distinct l_partkey as p, o_orderkey as k, o_orderdate as d from lineitem join orders on l_orderkey = o_orderkey),
+part_r as materialized (select *, row_number() over (partition by p order by d, k) as rn from part_x),
+back as materialized (select p, rn - step as rn, k, d from part_r, (values (3), (7), (13)) s(step)),
+edges_all as materialized (select distinct a.k as source, b.k as target from back a join part_r b on a.p = b.p and a.rn = b.rn and year(a.d) > year(b.d)),
+edges as materialized (select source, target from edges_all join nodes_all on source = node_id where year <= 2000),
 node_set as (select source as node_id from edges union select target from edges),
-nodes as (select n.* from nodes_all n semi join node_set g on n.node_id = g.node_id),
+nodes as materialized (select n.* from nodes_all n semi join node_set g on n.node_id = g.node_id),
 agents as (select node_id as agent, author_id from nodes_all where year = 2001),
 authors as (select author_id, min(year) as birth_year, count(*) as pub_count from nodes group by author_id)
 """
@@ -86,6 +87,12 @@ class Views:
 
         return keep(graph_nodes(self.nodes_all, self.edges), "view_nodes")
 
+    @cached_property
+    def adjacency(self) -> DataFrame:
+        from ..operators.neighborhood import adjacency, placed
+
+        return keep(placed(adjacency(self.edges)), "view_adjacency")
+
     @cached_property
     def agents(self) -> DataFrame:
         return self.nodes_all.where(F.col("year") == NOW).select(F.col("node_id").alias("agent"), "author_id")

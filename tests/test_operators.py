@@ -113,27 +113,209 @@ def test_isolated_node_is_no_graph_node(spark):
 def test_capped_out_first_hop_stays_out_of_the_second(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 9)] + [(i, 8) for i in range(1, 8)] + [(1, 50)], "source long, target long")
     picks = spark.createDataFrame([(100, 0)], "agent long, generator long")
-    got = ne.hops(picks, ne.adjacency(edges), 3, lambda name, *c: rng.u(name, *c)).collect()
+    got = ne.hops(picks, ne.placed(ne.adjacency(edges)), 3, lambda name, *c: rng.u(name, *c)).collect()
     near = {r["candidate"] for r in got if r["hop"] == 1}
     assert len(near) == 3 and not any(r["candidate"] in range(9) for r in got if r["hop"] == 2)
 
 
 def test_lotka_needs_more_than_one():
-    pubs = {i: 1 for i in range(8)} | {100: 2}
-    machine = au.AuthorGrowth(dict.fromkeys(pubs, 2000), pubs, 30)
-    assert machine.deficit() is None  # two are expected and one is there
-    assert machine.next_author(2001, frozenset(), 0) == 101
-    del machine.buckets[2][100]
-    assert machine.deficit() == 2
-    assert machine.next_author(2001, frozenset(), 1) in {*range(8), 101}
-    assert machine.birth[101] == 2001
-
-
-def test_lotka_skips_the_dead_and_the_barred():
-    machine = au.AuthorGrowth({i: 1900 for i in range(12)}, {i: 1 for i in range(12)}, 30)
-    assert machine.next_author(2001, frozenset(), 0) == 12
-    machine = au.AuthorGrowth({i: 2000 for i in range(12)}, {i: 1 for i in range(12)}, 30)
-    assert machine.next_author(2001, frozenset(range(11)), 0) == 11
+    walk = au.GrowthWalk({1: 8, 2: 1}, {1: 8, 2: 1}, 30)
+    assert walk.deficit() is None  # two are expected and one is there
+    assert walk.next_author(2001, 0) == 0 and walk.births[0] == 2001
+    walk.totals[2] = 0
+    assert walk.deficit() == 2
+    assert walk.next_author(2001, 1) in {au.COUNT, 0}
+
+
+def test_lotka_skips_the_dead_and_the_barred(spark):
+    schema = "author_id long, birth_year int, pub_count long, cartel_id int"
+    one = spark.createDataFrame([(7,)], "agent long")
+    dead = spark.createDataFrame([(i, 1900, 1, None) for i in range(12)], schema)
+    assert au.grow(one, dead, 2001, 30)[0].collect() == [(7, 12)]
+    barred = spark.createDataFrame([(i, 2000, 1, 1 if i < 11 else None) for i in range(12)], schema)
+    assert au.grow(one, barred, 2001, 30)[0].collect() == [(7, 11)]
+
+
+def brute_growth(agents, authors, year, lifetime, rank, named):
+    """The same law over explicit lists: agent -> author, and publication counts."""
+    pubs = {a: n for a, _, n, _ in authors}
+    alive = {a for a, born, _, c in authors if c is None and year - born < lifetime}
+    next_id = max([-1, *pubs, *named.values()]) + 1
+    fresh, touched = {}, {}
+    for a in sorted((a for a in alive if a not in named.values()), key=rank):
+        fresh.setdefault(pubs[a], []).append(a)
+    for a in pubs:
+        if a in named.values() and a in alive:
+            touched.setdefault(pubs[a], []).append(a)
+    out = {}
+    for i, agent in enumerate(sorted(agents)):
+        if agent in named:
+            a = named[agent]
+            if a in touched.get(pubs.get(a, 0), []):
+                touched[pubs[a]].remove(a)
+                touched.setdefault(pubs[a] + 1, []).append(a)
+            elif a not in pubs:
+                touched.setdefault(1, []).append(a)
+            pubs[a] = pubs.get(a, 0) + 1
+            out[agent] = a
+            continue
+        count = lambda k: sum(n == k for n in pubs.values())
+        k, wanted = 2, None
+        while (expected := math.floor(count(1) / k**2 + 0.5)) >= 1:
+            if expected - count(k) > 1:
+                wanted = k
+                break
+            k += 1
+        old, new = fresh.get(k - 1, []), touched.setdefault(k - 1, [])
+        if wanted and old + new:
+            at = int(au.draw(0, "author", year, i) * (len(old) + len(new)))
+            if at < len(old):
+                a = old.pop(0)
+            else:
+                a, new[at - len(old)] = new[at - len(old)], new[-1]
+                new.pop()
+        else:
+            a, next_id = next_id, next_id + 1
+        pubs[a] = pubs.get(a, 0) + 1
+        touched.setdefault(pubs[a], []).append(a)
+        out[agent] = a
+    return out, pubs
+
+
+def test_growth_matches_explicit_lists(spark):
+    r = random.Random(3)
+    authors = [(a, r.choice([1950, 1990, 2000]), r.choice([1, 1, 1, 1, 2, 3]), 4 if a % 17 == 0 else None) for a in range(200)]
+    agents = [3 * i for i in range(150)]
+    named = {9: 17, 30: 500, 33: 500, 60: 21, 63: 34}
+    df = spark.createDataFrame(authors, "author_id long, birth_year int, pub_count long, cartel_id int")
+    u = {r["author_id"]: r["u"] for r in df.select("author_id", rng.u_fast("author_rank", "author_id", seed=0).alias("u")).collect()}
+    want, pubs = brute_growth(agents, authors, 2001, 30, lambda a: (u[a], a), named)
+    given, grown = au.grow(spark.createDataFrame([(a,) for a in agents], "agent long"), df, 2001, 30, 0, spark.createDataFrame([*named.items()], "agent long, author_id long"))
+    assert {r["agent"]: r["author_id"] for r in given.collect()} == want
+    assert {r["author_id"]: r["pub_count"] for r in grown.collect()} == pubs
+    births = {a: b for a, b, _, _ in authors}
+    assert all(r["birth_year"] == births.get(r["author_id"], 2001) for r in grown.collect())
+    assert len({*want.values()} & {a for a, *_ in authors}) > 10  # somebody was promoted
+
+
+def test_first_authors_follow_the_law(spark):
+    nodes = spark.createDataFrame([(i, 1950 + i // 40) for i in range(2000)], "node_id long, year int")
+    named, authors = au.first_authors(nodes, 10)
+    rows = named.collect()
+    born = {r["author_id"]: r["birth_year"] for r in authors.collect()}
+    assert len(rows) == 2000 and sum(r["pub_count"] for r in authors.collect()) == 2000
+    assert all(0 <= r["year"] - born[r["author_id"]] <= 10 for r in rows)
+    assert sorted(born) == [*range(len(born))]
+    pubs = sorted((r["pubs"], r["authors"]) for r in gr.publication_histogram(named).collect())
+    assert pubs[0][0] == 1 and dict(pubs).get(2, 0) >= pubs[0][1] / 4 - 3  # the law is met
+
+
+def test_seed_reputation_is_the_h_index_up_to_the_year(spark):
+    from citeloom.cli import seed_reputations
+
+    r = random.Random(2)
+    papers = [(i, r.randrange(6), 1990 + r.randrange(8)) for i in range(120)]
+    edges = [(a, b) for a in range(120) for b in range(a) if r.random() < 0.04]
+    cites = {i: sum(t == i for _, t in edges) for i in range(120)}
+
+    def h(author, year):
+        d = sorted((cites[i] for i, a, y in papers if a == author and y <= year), reverse=True)
+        return sum(x >= k + 1 for k, x in enumerate(d))
+
+    nodes = spark.createDataFrame(papers, "node_id long, author_id long, year int")
+    got = seed_reputations(nodes, spark.createDataFrame(edges, "source long, target long")).collect()
+    assert {r["node_id"]: r["initial_author_reputation"] for r in got} == {i: h(a, y) for i, a, y in papers}
+
+
+def test_draw_from_a_bag_is_uniform(spark):
+    from citeloom.plans.simulate import draw_from, indexed_bag
+
+    bag = spark.createDataFrame([(v,) for v in [1] * 3000 + [2] * 1000 + list(range(10, 1010))], "value int")
+    got = draw_from(spark.range(50_000), *indexed_bag(bag, spark), rng.u("b", "id"), "x")
+    counts = {r["x"]: r["count"] for r in got.groupBy("x").count().collect()}
+    assert sum(counts.values()) == 50_000 and abs(counts[1] - 30_000) < 600 and abs(counts[2] - 10_000) < 500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def py_places(degree, want, few, *names):
+    purpose, *rest = names
+    a, b = (math.floor(au.draw(0, f"{purpose}_{k}", *rest) * rng.SEEDS) for k in "ab")
+
+    def number(n):
+        x = (a + n * rng.STRIDE) % rng.PRIME
+        return (x * x % rng.PRIME + b) ** 2 % rng.PRIME
+
+    if degree <= few:
+        return sorted(range(degree), key=lambda p: (number(p), p))[:want]
+    line = [math.floor(number(n) * degree / rng.PRIME) for n in range(1, 2 * degree + 1)] + [*range(degree)]
+    return [*dict.fromkeys(line)][:want]
+
+
+def test_drawn_places_are_uniform(spark):
+    for degree, few, want in ((30, 80, 5), (200, 80, 20), (100_000, 80, 20)):
+        rows = spark.range(20_000).select(F.explode(ne.drawn_places(F.lit(degree).cast("long"), F.lit(want), few, rng.line_seeds(lambda name, *c: rng.u(name, *c), "p", "id"))).alias("place"), "id")
+        assert rows.distinct().count() == 20_000 * want
+        tenths = [r["n"] for r in rows.groupBy(F.floor(F.col("place") * 10 / degree).alias("t")).agg(F.count("*").alias("n")).collect()]
+        assert len(tenths) == 10 and all(abs(n - 2_000 * want) < 6 * (2_000 * want) ** 0.5 for n in tenths)
+        # no two neighbouring places go together more often than others
+        both = rows.alias("a").join(rows.alias("b"), "id").where("b.place = a.place + 1").count()
+        expected = 20_000 * want * (want - 1) / degree
+        assert abs(both - expected) < 6 * expected**0.5 + 5
+
+
+@pytest.mark.parametrize("cap", [2, 5, 30])
+def test_hops_match_a_walk_along_the_line(spark, cap):
+    r = random.Random(cap)
+    edges = [(a, b) for a in range(120) for b in range(a) if r.random() < (0.9 if b < 3 else 0.03)]
+    edges += [(7, 7), (3, 5), (5, 3)]
+    near = {n: sorted({b for a, b in edges if a == n} | {a for a, b in edges if b == n} - {n}) for n in range(120)}
+    near = {n: [x for x in v if x != n] for n, v in near.items()}
+    picks = [(1000 + i, i) for i in range(120)]
+    draw = lambda *names: au.draw(0, *names)
+    want = set()
+    for agent, g in picks:
+        d = len(near[g])
+        first = [near[g][p] for p in (range(d) if d <= cap else py_places(d, cap, 4 * cap, "cap1", agent))]
+        want |= {(agent, 1, x) for x in first}
+        line = []
+        for parent in sorted(first, key=lambda x: (draw("cap2p", agent, x), x)):
+            line += [near[parent][p] for p in py_places(len(near[parent]), len(near[parent]), 4 * cap, "cap2c", agent, parent)]
+        want |= {(agent, 2, x) for x in [x for x in dict.fromkeys(line) if x != g and x not in near[g]][:cap]}
+    adj = ne.placed(ne.adjacency(spark.createDataFrame(edges, "source long, target long")))
+    hopped = ne.placed_hops(spark.createDataFrame(picks, "agent long, generator long"), adj, cap, lambda name, *c: rng.u(name, *c))
+    rows = hopped.collect()
+    assert len(rows) == len(want) and {(r["agent"], r["hop"], r["candidate"]) for r in rows} == want
+    for k in (1, cap, cap + 1):
+        pooled = ne.pooled(hopped, k).groupBy("agent").count().collect()
+        assert {r["agent"]: r["count"] for r in pooled} == {a: min(k, sum(x[0] == a for x in want)) for a, _ in picks if any(x[0] == a for x in want)}
+
+
+def test_a_hub_is_sampled_without_reading_its_list(spark):
+    hub = spark.range(1, 1_000_001).select(F.col("id").alias("source"), F.lit(0).cast("long").alias("target"))
+    edges = hub.unionByName(spark.createDataFrame([(0, 2_000_000), (2_000_000, 2_000_001)], "source long, target long"))
+    adj = ne.placed(ne.adjacency(edges))
+    from citeloom.plans.state import keep
+
+    adj = keep(adj, "hub")
+    picks = spark.range(200).select((F.col("id") + 5_000_000).alias("agent"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("generator"))
+    got = ne.placed_hops(picks, adj, 20, lambda name, *c: rng.u(name, *c)).groupBy("agent", "hop").agg(F.countDistinct("candidate").alias("n")).collect()
+    sizes = {(r["agent"] - 5_000_000, r["hop"]): r["n"] for r in got}
+    assert all(sizes[i, 1] == 20 for i in range(0, 200, 2))
+    # a leaf has the hub as its only neighbour, and 20 of the hub's others in the second hop
+    assert all((sizes[i, 1], sizes[i, 2]) == (1, 20) for i in range(1, 200, 2))
+    places = adj.where("node_id = 0").agg(F.count("*"), F.countDistinct("place"), F.min("place"), F.max("place")).first()
+    assert tuple(places) == (1_000_001, 1_000_001, 0, 1_000_000)
+
+
+def test_users_plans_cut_groups_before_the_shuffle(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("agent"), F.lit(1).alias("hop"), F.lit(0).alias("bin"), F.col("id").alias("candidate"), F.lit(1.0).alias("score"), (F.col("id") % 7).alias("quota"))
+    for top in (sa.weighted_top(rows, F.col("quota"), rng.u("w", "candidate")), sa.uniform_top(rows, F.lit(3), rng.u("w", "candidate"))):
+        assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    counts = {r["agent"]: r["count"] for r in sa.weighted_top(rows, F.col("quota"), rng.u("w", "candidate")).groupBy("agent").count().collect()}
+    assert counts == {a: a for a in range(1, 7)}
+    large = spark.range(3000).select(F.lit(1).alias("agent"), F.lit(1).alias("hop"), F.lit(0).alias("bin"), F.col("id").alias("candidate"))
+    assert [sa.uniform_top(large, F.lit(q), rng.u("w", "candidate")).count() for q in (1200, 1600)] == [1200, 1500]
 
 
 def test_driver_and_spark_draw_alike(spark):

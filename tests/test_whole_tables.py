@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import rng
 from citeloom.operators import community as co
+from citeloom.operators import neighborhood as ne
 from citeloom.operators import sampling as sa
 from citeloom.plans import catalogue
 
@@ -14,9 +15,11 @@ from citeloom.plans import catalogue
 def views(spark, edges, nodes=(), agents=()):
     """A stand-in for Views; nodes: (node_id, year, cluster_id), all nodes of the edges where none are given."""
     nodes = nodes or [(n, 1990, 0) for n in sorted({x for e in edges for x in e})]
+    linked = spark.createDataFrame(edges, "source long, target long")
     return SimpleNamespace(
         spark=spark,
-        edges=spark.createDataFrame(edges, "source long, target long"),
+        edges=linked,
+        adjacency=ne.placed(ne.adjacency(linked)),
         nodes=spark.createDataFrame(nodes, "node_id long, year int, cluster_id int"),
         agents=spark.createDataFrame(list(agents), "agent long, author_id long"),
     )
