@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.state import keep, kept_path  # noqa: F401  operators take them from here
+
 #: White space as the corpus contracts define it: \x20 and \x09-\x0D.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -24,46 +23,6 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    A temporary folder is made only where the session names none, as in a local test.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or _set_dir(spark)
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
-        found = _set_dir(spark)
-    return found.rstrip("/")
-
-
-def _set_dir(spark: SparkSession) -> str | None:
-    """The folder that setCheckpointDir was given, which the session's settings don't show."""
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get() if current.isDefined() else None
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs a re-read of the file, not a recomputation. The files go
-    when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/citeloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(jvm, hadoop, path: str) -> None:
-    """Also works after the session has stopped, as long as its JVM lives."""
-    try:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(hadoop).delete(at, True)
-    except Exception:  # the JVM has gone; nothing can be tidied any more
-        return
-
-
 #: Rows of two or three longs that may be broadcast: 2 million stay under 64 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -78,7 +37,8 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches where the session still has Spark's defaults."""
+    """Bound Arrow batches where the session still has Spark's defaults. Queries and the pipeline's stages call this;
+    operators leave the caller's session as it is."""
     for key, default, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
         if str(spark.conf.get(name, default)).rstrip("b") == default:
@@ -107,7 +67,6 @@ def arrow_map(df: DataFrame, schema: str, work: Callable[[], Callable[[pa.Record
         del step
         release_memory()
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, pii, quality, secrets, token_counts, topk
-from .common import table
+from .common import small_batches, table
 
 
 def _vocabulary(name: str) -> str:
@@ -58,17 +59,28 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with Arrow batches that suit small executors and long documents."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_secret_scan": op1_secret_scan,
-    "op2_top_k": op2_top_k,
-    "op3_line_dedup": op3_line_dedup,
-    "op4_source_mix": op4_source_mix,
-    "op5_token_counts": op5_token_counts,
-    "op6_quality": op6_quality,
-    "op7_pii": op7_pii,
-    "op8_bpe_round_trip": op8_bpe_round_trip,
-    "op9_exact_dedup": op9_exact_dedup,
-    "op10_near_dedup": op10_near_dedup,
+    "op1_secret_scan": _bounded(op1_secret_scan),
+    "op2_top_k": _bounded(op2_top_k),
+    "op3_line_dedup": _bounded(op3_line_dedup),
+    "op4_source_mix": _bounded(op4_source_mix),
+    "op5_token_counts": _bounded(op5_token_counts),
+    "op6_quality": _bounded(op6_quality),
+    "op7_pii": _bounded(op7_pii),
+    "op8_bpe_round_trip": _bounded(op8_bpe_round_trip),
+    "op9_exact_dedup": _bounded(op9_exact_dedup),
+    "op10_near_dedup": _bounded(op10_near_dedup),
 }
 
 ORACLES: dict[str, str] = {
