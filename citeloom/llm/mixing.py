@@ -1,6 +1,6 @@
 """Mixing sources to target weights, to the word.
 
-Every document gets a hash-random key (md5 of its id and a seed). Within a source the documents lie in
+Every document gets a hash-random key (md5 of its id, source and text, and a seed). Within a source the documents lie in
 key order, dealt over ranges of the key; keys are uniform, so fixed ranges are even however large a
 source is. Word counts are summed by range, ranges are summed before one another, and within a range a
 running sum finishes the distributed prefix sum. A source's budget is its target in whole words: it
@@ -10,9 +10,9 @@ exact word, so that the last one may be taken in part.
 Targets: sources in code point order (null last) weigh weights[0], weights[1], ... in turn and share
 `share` times all words; none gets over `most` times its words, and what is above is shared out again.
 
-Null and empty texts have size 0 and are never taken. A source without words has target 0. Rows that
-share a doc_id follow one another by size; equal rows are taken one after the other. An empty table
-gives an empty result; extra columns are ignored.
+Null and empty texts have size 0 and are never taken. A source without words has target 0. The key is
+made of id, source and text, so rows that share an id, or have none, spread like all others; equal rows
+follow one another. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, arrow_map, broadcast_if_small, keep, text_or_empty
@@ -40,17 +40,18 @@ def count_words(text: bytes) -> int:
     return int(inside[0]) + int(np.count_nonzero(inside[1:] & ~inside[:-1]))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size."""
+def word_counts(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size and key."""
 
     def work():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = [count_words(t.as_buffer().to_pybytes()) for t in batch.column(2)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+            n = [count_words(t.as_buffer().to_pybytes()) for t in batch.column(3)]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(2)], names=["doc_id", "source", "size", "key"])
 
         return step
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text_or_empty().alias("text")), "doc_id long, source string, size long", work)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), row_key(seed).alias("key"), text_or_empty().alias("text"))
+    return arrow_map(rows, "doc_id long, source string, size long, key string", work)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
@@ -71,10 +72,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
+def row_key(seed: str) -> Column:
+    """The random key of a row; only equal rows share one."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "source")]
+    return F.md5(F.concat_ws(":", *shown, F.md5(text_or_empty()), F.lit(seed)))
+
+
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs (whole takes), part (words of a last take) and taken."""
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed)))
-    sizes = keep(word_counts(docs).withColumn("key", key), "sizes")
+    """doc_id, source, size, source_size, target, epochs (whole takes), part (words of a last take), taken and key."""
+    sizes = keep(word_counts(docs, seed), "sizes")
     goal = keep(targets(sizes, weights, share, most), "targets")
     n_sources = goal.count()
     ranges = max(1, math.ceil(sizes.count() / RANGE))
@@ -89,7 +95,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1)
     rows = rows.withColumn("before", F.col("start") + F.coalesce(within, F.lit(0))).withColumn("budget", F.floor("target"))
     rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long"))
     rows = rows.withColumn("part", F.least("size", F.greatest(F.lit(0), F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before"))).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), "key")
 
 
 def first_words(text: bytes, n: int) -> bytes:
@@ -100,17 +106,28 @@ def first_words(text: bytes, n: int) -> bytes:
     return text if n >= len(ends) else text[: ends[n - 1]] if n > 0 else b""
 
 
-def mixed_documents(docs: DataFrame, mixed: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+def mixed_documents(docs: DataFrame, mixed: DataFrame, columns: tuple[str, ...], seed: str = "mix") -> DataFrame:
     """The mix itself: a row for each whole take of a document, and one with its first words for a part.
 
-    columns are those of docs to return, doc_id, text, source and n_chars among them. Documents of one
-    source that share an id, or have none, are taken alike: by the longest part of them.
+    columns are those of docs to return, doc_id, text, source and n_chars among them; seed is that of the mix.
+    Equal rows (one key) are taken as often as all of them together: their takes stand on one of them, the
+    one with the least other columns.
     """
-    taken = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max("part").alias("_part"))
+    some = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.col("part"))
+    whole = F.col("epochs") + F.when((F.col("part") > 0) & (F.col("part") == F.col("size")), 1).otherwise(0)
+    taken = mixed.where("taken > 0").groupBy(F.col("key").alias("_key")).agg(F.sum(whole).alias("_whole"), F.max(some).alias("_part"))
     taken = keep(taken, "taken")
-    rows = docs.join(broadcast_if_small(taken, taken.count(), 500_000), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0))))
-    rows = rows.select(*columns, F.when(F.col("_take") > F.col("_epochs"), F.col("_part")).alias("_words"))
+    alike = mixed.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key")
+    rows = docs.select(*columns, row_key(seed).alias("_key"))
+    alike = keep(alike, "alike")
+    n_alike = alike.count()
+    if n_alike:
+        few = broadcast_if_small(alike, n_alike, 500_000)
+        once = rows.join(few, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*columns)).alias("o")).select(*(F.col(f"o.{c}").alias(c) for c in columns), "_key")
+        rows = rows.join(few, "_key", "left_anti").unionByName(once)
+    rows = rows.join(broadcast_if_small(taken, taken.count(), 500_000), "_key")
+    rows = rows.withColumn("_take", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0))))
+    rows = rows.select(*columns, F.when(F.col("_take") > F.col("_whole"), F.col("_part")).alias("_words"))
 
     def work():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,7 +146,7 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, columns: tuple[str, ...])
 
 MIX_SQL = r"""
 with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-                 md5(coalesce(doc_id::varchar, 'null') || ':mix') as key from documents),
+                 md5(coalesce(doc_id::varchar, 'null') || ':' || coalesce(source, 'null') || ':' || md5(coalesce(text, '')) || ':mix') as key from documents),
   s0 as (select source, sum(size)::bigint as source_size from sized group by source),
   s1 as (select *, row_number() over (order by source asc nulls last) - 1 as turn from s0),
   s2 as (select *, ([5, 2, 1])[turn % 3 + 1]::bigint as weight, source_size * 2 as cap, (sum(source_size) over ())::bigint * 3 as everything from s1),
