@@ -16,6 +16,7 @@ query without candidates has no rows; an empty table gives an empty result; extr
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 8192
+#: Queries and candidates that meet in a task. A candidate is dealt once for each query block, so query blocks are large.
+QUERY_BLOCK = 16_384
+CANDIDATE_BLOCK = 8_192
+#: Pairs are scored in tiles of so many queries by so many candidates: 16 MB.
+TILE = (1_024, 2_048)
 BUCKETS = 256
 TOP = (1 << 62) - 1
 _NONE = -(1 << 63)
@@ -51,53 +55,93 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+class Tiles:
+    """Inner products of a query block with a candidate block as int64, a tile at a time; a query's own id scores _NONE.
+    Exact in doubles while sums stay under 2^53."""
+
+    def __init__(self, queries: pa.Table, candidates: pa.Table):
+        width = max([1, *(int(pc.max(pc.list_value_length(t.column("v"))).as_py() or 0) for t in (queries, candidates))])
+        self.q, self.c = _matrix(queries.column("v"), width), _matrix(candidates.column("v"), width)
+        self.own, self.ids = np.asarray(queries.column("vec_id")), np.asarray(candidates.column("vec_id"))
+        self.bound = float(np.abs(self.q.astype(float)).max(initial=0)) * float(np.abs(self.c.astype(float)).max(initial=0)) * width
+        self.kind = float if self.bound < 1 << 53 else np.int64 if self.bound < 1 << 62 else object
+        self.q, self.c = self.q.astype(self.kind, copy=False), self.c.astype(self.kind, copy=False)
+
+    def rows(self) -> Iterator[tuple[slice, Iterator[tuple[slice, np.ndarray]]]]:
+        """For each slice of queries: the slices of candidates with their scores."""
+        for a in range(0, len(self.own), TILE[0]):
+            part = slice(a, min(a + TILE[0], len(self.own)))
+            yield part, self._across(part)
+
+    def _across(self, part: slice) -> Iterator[tuple[slice, np.ndarray]]:
+        for b in range(0, len(self.ids), TILE[1]):
+            other = slice(b, min(b + TILE[1], len(self.ids)))
+            out = self.q[part] @ self.c[other].T
+            out = (np.clip(out, -TOP, TOP) if self.kind is object else out).astype(np.int64)
+            ids = self.ids[other]
+            order = np.argsort(ids)
+            at = np.minimum(np.searchsorted(ids[order], self.own[part]), len(ids) - 1)
+            here = np.flatnonzero(ids[order][at] == self.own[part])
+            out[here, order[at[here]]] = _NONE
+            yield other, out
+
+
 def scores(queries: pa.Table, candidates: pa.Table) -> np.ndarray:
-    """Inner products as int64; a query's own id scores _NONE. Exact in doubles while sums stay under 2^53."""
-    width = max([1, *(int(pc.max(pc.list_value_length(t.column("v"))).as_py() or 0) for t in (queries, candidates))])
-    q, c = _matrix(queries.column("v"), width), _matrix(candidates.column("v"), width)
-    bound = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * width
-    if bound < 1 << 53:
-        out = (q.astype(float) @ c.astype(float).T).astype(np.int64)
-    elif bound < 1 << 62:
-        out = q @ c.T
-    else:
-        out = np.clip(q.astype(object) @ c.astype(object).T, -TOP, TOP).astype(np.int64)
-    own, ids = np.asarray(queries.column("vec_id")), np.asarray(candidates.column("vec_id"))
-    order = np.argsort(ids)
-    at = np.searchsorted(ids[order], own)
-    here = np.flatnonzero((at < len(ids)) & (ids[order][np.minimum(at, len(ids) - 1)] == own))
-    out[here, order[at[here]]] = _NONE
-    return out
+    """All scores of two blocks."""
+    return np.concatenate([np.concatenate([s for _, s in across], axis=1) for _, across in Tiles(queries, candidates).rows()])
 
 
 def _histogram(candidates: pa.Table, queries: pa.Table) -> pa.Table:
     """query_id, bucket, n of a block's scores, from the top down to the block's own kth score."""
-    if not queries.num_rows or not candidates.num_rows:
-        return pa.table({"query_id": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-    s = scores(queries, candidates)
-    low, width, span, need = (np.asarray(queries.column(c)) for c in ("low", "width", "span", "need"))
-    bucket = (s - low[:, None]) // width[:, None]
-    inside = (s != _NONE) & (s >= low[:, None]) & (s < (low + span)[:, None])
-    row = np.broadcast_to(np.arange(len(low))[:, None], s.shape)
-    counts = np.bincount((row[inside] * BUCKETS + bucket[inside]).astype(np.int64), minlength=len(low) * BUCKETS).reshape(-1, BUCKETS)
-    above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
-    r, b = np.nonzero((counts > 0) & (above < need[:, None]))
-    return pa.table({"query_id": queries.column("vec_id").take(pa.array(r)), "bucket": pa.array(b, pa.int32()), "n": pa.array(counts[r, b], pa.int64())})
+    found = []
+    if queries.num_rows and candidates.num_rows:
+        low, width, span, need = (np.asarray(queries.column(c)) for c in ("low", "width", "span", "need"))
+        for part, across in Tiles(queries, candidates).rows():
+            n = part.stop - part.start
+            counts = np.zeros(n * BUCKETS, np.int64)
+            line = np.arange(n)[:, None] * BUCKETS
+            for _, s in across:
+                inside = (s != _NONE) & (s >= low[part, None]) & (s < (low + span)[part, None])
+                s -= low[part, None]
+                s //= width[part, None]
+                s += line
+                counts += np.bincount(s[inside], minlength=n * BUCKETS)
+            counts = counts.reshape(-1, BUCKETS)
+            above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
+            r, b = np.nonzero((counts > 0) & (above < need[part, None]))
+            found.append((r + part.start, b, counts[r, b]))
+    r, b, n = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
+    ids = queries.column("vec_id").take(pa.array(r, pa.int64())) if found else pa.array([], pa.int64())
+    return pa.table({"query_id": ids, "bucket": pa.array(b, pa.int32()), "n": pa.array(n, pa.int64())})
 
 
 def _survivors(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-    empty = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-    if not queries.num_rows or not candidates.num_rows:
-        return empty
-    s = scores(queries, candidates)
-    low, need = np.asarray(queries.column("low")), np.asarray(queries.column("need"))
-    ids = np.asarray(candidates.column("vec_id"))
-    r, c = np.nonzero((s > low[:, None]) & (s != _NONE))
-    ties = [(i, j[np.argsort(ids[j], kind="stable")[: need[i]]]) for i in range(len(low)) if len(j := np.flatnonzero((s[i] == low[i]) & (s[i] != _NONE)))]
-    if ties:
-        r = np.concatenate([r, *(np.full(len(j), i) for i, j in ties)])
-        c = np.concatenate([c, *(j for _, j in ties)])
-    return pa.table({"query_id": queries.column("vec_id").take(pa.array(r, pa.int64())), "vec_id": pa.array(ids[c], pa.int64()), "score": pa.array(s[r, c], pa.int64())}) if len(r) else empty
+    """query_id, vec_id, score over the kth score, and of those equal to it the smallest ids, as many as are needed."""
+    query, vec, score = [], [], []
+    if queries.num_rows and candidates.num_rows:
+        low, need = np.asarray(queries.column("low")), np.asarray(queries.column("need"))
+        tiles = Tiles(queries, candidates)
+        for part, across in tiles.rows():
+            own_low, own_need = low[part], need[part]
+            equal: list[list[np.ndarray]] = [[] for _ in own_low]
+            for other, s in across:
+                ids = tiles.ids[other]
+                r, c = np.nonzero((s > own_low[:, None]) & (s != _NONE))
+                query.append(tiles.own[part][r])
+                vec.append(ids[c])
+                score.append(s[r, c])
+                r, c = np.nonzero((s == own_low[:, None]) & (s != _NONE))
+                cuts = np.flatnonzero(np.diff(r)) + 1
+                for i, j in zip(r[np.r_[0, cuts]] if len(r) else (), np.split(c, cuts), strict=bool(len(r))):
+                    equal[i].append(np.sort(ids[j])[: own_need[i]])
+            for i, some in enumerate(equal):
+                if some:
+                    ties = np.sort(np.concatenate(some))[: own_need[i]]
+                    query.append(np.full(len(ties), tiles.own[part][i]))
+                    vec.append(ties)
+                    score.append(np.full(len(ties), own_low[i]))
+    joined = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (query, vec, score)]
+    return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "vec_id", "score"), joined, strict=True)})
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
