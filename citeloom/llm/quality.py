@@ -9,7 +9,8 @@ The fit uses at most max_labelled rows of each label (picked by a hash of doc_id
 the quantile is that of all labelled rows outside the held-out quarter. Scoring reads every row and whole texts. Inputs are text statistics only.
 
 Null and empty texts get the score of a text without any words. Labels that are null or of unknown
-documents are ignored; of several labels of a document the largest counts. Without both labels nothing
+documents are ignored; of several labels of a document the largest counts, of several texts under a
+labelled id the one with the least features teaches (all of them count for the quantile). Without both labels nothing
 can be ranked: every score is 0.7 and nothing is rejected. Rows are independent: repeated rows, null
 ids and extra columns change nothing; an empty table gives an empty result.
 """
@@ -150,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> Ranki
 
         return step
 
-    rows = sorted(arrow_map(texts, "doc_id long, quality int, x array<double>", work).distinct().collect(), key=lambda r: (r["doc_id"], r["x"]))
+    found = arrow_map(texts, "doc_id long, quality int, x array<double>", work).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"])  # 2 * max_labelled at most
     good = np.array([r["quality"] >= 1 for r in rows])
     if not len(rows) or good.all() or not good.any():
         return None

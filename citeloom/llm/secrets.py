@@ -17,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -150,14 +151,10 @@ def word_windows(run: str) -> Callable[[int, int], bool]:
     return words
 
 
-def entropy_spans(run: str) -> list[tuple[int, int]]:
-    found = []
-    for k in CLASSES:
-        for m in k.pattern.finditer(run):
-            if len(m[0]) >= k.window:
-                found += [(m.start() + a, m.start() + b) for a, b in hot_windows(m[0], k.window, k.limit, word_windows(m[0]))]
+def joined_ranges(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that touch or overlap as one, in order."""
     joined: list[list[int]] = []
-    for a, b in sorted(found):
+    for a, b in sorted(ranges):
         if joined and a <= joined[-1][1]:
             joined[-1][1] = max(joined[-1][1], b)
         else:
@@ -165,6 +162,15 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in joined]
 
 
+def entropy_spans(run: str) -> list[tuple[int, int]]:
+    found = []
+    for k in CLASSES:
+        for m in k.pattern.finditer(run):
+            if len(m[0]) >= k.window:
+                found += [(m.start() + a, m.start() + b) for a, b in hot_windows(m[0], k.window, k.limit, word_windows(m[0]))]
+    return joined_ranges(found)
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
     """All spans as (start, rank of kind, end, kind)."""
     base = []
@@ -178,12 +184,14 @@ def find_secrets(text: str) -> list[tuple[int, int, int, str]]:
         base += [(at + x.start(), 2, at + x.end(), "hex") for x in HEX.finditer(run)]
     more = []
     if runs:
-        taken = sorted((s, e) for s, _, e, _ in base)
+        taken = joined_ranges((s, e) for s, _, e, _ in base)
+        starts = [s for s, _ in taken]
         for m in runs:
             for low, high in open_parts(m[0]) if len(m[0]) >= 20 else ():
                 for a, b in entropy_spans(m[0][low:high]):
                     a, b = a + m.start() + low, b + m.start() + low
-                    if not any(s < b and a < e for s, e in taken):
+                    near = bisect_left(starts, b) - 1  # the last base range that begins before the span's end
+                    if near < 0 or taken[near][1] <= a:
                         more.append((a, 3, b, "entropy"))
     return sorted(base + more)
 
