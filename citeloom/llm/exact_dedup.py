@@ -1,12 +1,13 @@
-"""Exact dedup against immutable snapshots behind binary-fuse filters.
+"""Exact dedup against immutable segments behind binary-fuse filters.
 
-A snapshot holds one row for each distinct digest of the batches before (digest, copies, largest id),
-dealt into buckets, and a static 3-wise binary-fuse filter for each bucket: about 9 bits a digest, no
-false negatives, 1 in 256 false positives. An incoming batch is grouped by digest on its own first.
-Its distinct digests meet their bucket's filter: negatives are new and done; positives join the exact
-bucket, which tells copies from false positives. Then the texts of all rows in groups of two or more
-are compared byte by byte with the text of the row that stays; rows that differ in spite of an equal
-digest are grouped by their texts.
+Every batch leaves one segment that is never written again: its new digests (digest, copies, largest id)
+dealt into buckets, a static 3-wise binary-fuse filter for each bucket (about 9 bits a digest, no false
+negatives, 1 in 256 false positives), and its repeats: digests that an earlier segment holds. An incoming
+batch is grouped by digest on its own first. Its distinct digests meet the filters of the segments before
+it, not their rows; negatives of all of them are new. Positives, and they alone, are joined with the rows
+of the segment's hit buckets, which tells copies from false positives. Then the texts of all rows in
+groups of two or more are compared byte by byte with the text of the row that stays; rows that differ in
+spite of an equal digest are grouped by their texts.
 
 Null counts as an empty text. Rows that share both doc_id and text are one document and stay or go
 together. A null doc_id stays only in a group without any other. An empty table gives an empty
@@ -16,18 +17,24 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep, text_or_empty
+from .common import broadcast_if_small, keep, kept_path, text_or_empty
 
 #: Digests of a bucket: its filter is built by one task.
 BUCKET = 50_000
+#: Hit buckets that a read of a segment names; with more of them it reads all rows.
+HIT = 2_000
 #: Copies of a text that are compared in one place.
 SHARE = 1_000
+#: Copies from which a digest's rows are joined where they lie.
+SPREAD = 5_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,72 +116,134 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
 
 
-def build_filters(distinct: DataFrame, buckets: int) -> DataFrame:
-    """bucket, seed, segment, slots for a snapshot's distinct digests."""
+def build_filters(distinct: DataFrame) -> DataFrame:
+    """bucket, seed, segment, slots for the digests of each bucket."""
 
     def build(group: pa.Table) -> pa.Table:
         made = FuseFilter.build(_keys(group.column("digest")))
         return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "seed": pa.array([made.seed], pa.int32()), "segment": pa.array([made.segment], pa.int32()), "slots": pa.array([made.slots.tobytes()], pa.binary())})
 
-    return distinct.select("digest", _bucket(buckets).alias("bucket")).groupBy("bucket").applyInArrow(build, "bucket int, seed int, segment int, slots binary")
+    return distinct.select("digest", "bucket").groupBy("bucket").applyInArrow(build, "bucket int, seed int, segment int, slots binary")
 
 
 def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """incoming's distinct digests with positive: whether the snapshot may hold them."""
+    """incoming's distinct digests (digest, copies, last) with bucket and positive: whether the segment may hold them."""
 
     def test(group: pa.Table, own: pa.Table) -> pa.Table:
         hit = np.zeros(group.num_rows, bool)
         if group.num_rows and own.num_rows:
             row = own.to_pylist()[0]
             hit = FuseFilter(row["seed"], row["segment"], np.frombuffer(row["slots"], np.uint8)).holds(_keys(group.column("digest")))
-        return group.drop(["bucket"]).append_column("positive", pa.array(hit))
+        return group.append_column("positive", pa.array(hit))
 
-    dealt = incoming.withColumn("bucket", _bucket(buckets)).groupBy("bucket")
-    return dealt.cogroup(filters.groupBy("bucket")).applyInArrow(test, "digest binary, copies long, last long, positive boolean")
+    dealt = incoming.select("digest", "copies", "last", _bucket(buckets).alias("bucket")).groupBy("bucket")
+    return dealt.cogroup(filters.groupBy("bucket")).applyInArrow(test, "digest binary, copies long, last long, bucket int, positive boolean")
 
 
-def _merged(groups: DataFrame) -> DataFrame:
-    return groups.groupBy("digest").agg(F.sum("copies").alias("copies"), F.max("last").alias("last"))
+ROWS = "digest binary, copies long, last long, bucket int"
+REPEATS = "digest binary, more long, other long, copies long, last long"
 
 
-def add_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """The next snapshot: (digest, copies, last) of everything so far and an incoming batch's groups."""
-    buckets = max(1, math.ceil(max(snapshot.count(), batch.count()) / BUCKET))
-    screened = keep(screen(batch, build_filters(snapshot, buckets), buckets), "screened")
-    new = screened.where("not positive").select("digest", "copies", "last")
-    positives = screened.where("positive").select("digest", F.col("copies").alias("more"), F.col("last").alias("other"))
-    joined = snapshot.join(positives, "digest", "full").select("digest", (F.coalesce("copies", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("copies"), F.greatest("last", "other").alias("last"))
-    return keep(new.unionByName(joined), "snapshot")
+@dataclass
+class Segments:
+    """The segments of a folder, one for each batch, numbered from 0: rows, filters and repeats. A segment's bucket
+    count stands in its name, so that a later application finds all it needs (Segments.open)."""
+
+    spark: SparkSession
+    path: str
+    buckets: list[int] = field(default_factory=list)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Segments:
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+        found = sorted((int(n.split("-")[1]), int(n.split("-")[2])) for n in names if n.startswith("segment-"))
+        return cls(spark, path, [b for _, b in found])
+
+    def _part(self, k: int, kind: str) -> str:
+        return f"{self.path}/segment-{k}-{self.buckets[k]}/{kind}"
+
+    def rows(self, k: int) -> DataFrame:
+        return self.spark.read.schema(ROWS).parquet(self._part(k, "rows"))
+
+    def filters(self, k: int) -> DataFrame:
+        return self.spark.read.schema("bucket int, seed int, segment int, slots binary").parquet(self._part(k, "filters"))
+
+    def repeats(self, k: int) -> DataFrame:
+        return self.spark.read.schema(REPEATS).parquet(self._part(k, "repeats"))
+
+    def add(self, batch: DataFrame) -> None:
+        """Screen batch (digest, copies, last; each digest once) and store its segment. Nothing older is written."""
+        left, repeats = batch.select("digest", "copies", "last"), None
+        for k in range(len(self.buckets)):
+            screened = keep(screen(left, self.filters(k), self.buckets[k]), "screened")
+            positives = screened.where("positive").drop("positive")
+            hit = [r["bucket"] for r in positives.select("bucket").distinct().limit(HIT + 1).collect()]
+            held = self.rows(k).where(F.col("bucket").isin(hit)) if len(hit) <= HIT else self.rows(k)
+            asked = positives.select("digest", "bucket", F.col("copies").alias("more"), F.col("last").alias("other"))
+            found = keep(asked.join(held, ["digest", "bucket"]).select("digest", "more", "other", "copies", "last"), "confirmed")
+            false = positives.join(found.select("digest"), "digest", "left_anti")
+            left = screened.where("not positive").select("digest", "copies", "last").unionByName(false.select("digest", "copies", "last"))
+            repeats = found if repeats is None else repeats.unionByName(found)
+        k = len(self.buckets)
+        left = keep(left, "new")
+        self.buckets.append(max(1, math.ceil(left.count() / BUCKET)))
+        left.withColumn("bucket", _bucket(self.buckets[k])).repartition("bucket").sortWithinPartitions("bucket").write.parquet(self._part(k, "rows"))
+        build_filters(self.rows(k)).write.parquet(self._part(k, "filters"))
+        (repeats if repeats is not None else self.spark.createDataFrame([], REPEATS)).write.parquet(self._part(k, "repeats"))
+
+    def several(self) -> DataFrame:
+        """digest, copies, last of all digests with two copies or more, over all segments."""
+        again, alone = self.repeats(0), self.rows(0).where("copies > 1").select("digest", "copies", "last")
+        for k in range(1, len(self.buckets)):
+            again = again.unionByName(self.repeats(k))
+            alone = alone.unionByName(self.rows(k).where("copies > 1").select("digest", "copies", "last"))
+        more = again.groupBy("digest").agg((F.sum("more") + F.first("copies")).alias("copies"), F.greatest(F.max("other"), F.max("last")).alias("last"))
+        return keep(more.unionByName(alone.join(more.select("digest"), "digest", "left_anti")), "several")
+
+
+def _spread_join(rows: DataFrame, several: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with several by digest; the few digests with many copies are broadcast, so no task gets all their rows.
+
+    A digest of SPREAD copies or more is one of rows / SPREAD at most, and their number is checked as well.
+    """
+    many = keep(several.where(F.col("shares") > SPREAD // SHARE), "many")
+    n = many.count()
+    if not n or n > 500_000:
+        return rows.join(several, "digest", how)
+    others = rows.join(F.broadcast(many.select("digest")), "digest", "left_anti").join(several.where(F.col("shares") <= SPREAD // SHARE), "digest", how)
+    return others.unionByName(rows.join(F.broadcast(many), "digest"))
 
 
 def exact_dedup(docs: DataFrame, batches: int = 2, digest: Column | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs.
 
-    docs come in as so many batches (by a hash of doc_id): the first makes a snapshot, each of the others is screened
-    by the snapshot before it. digest: another binary digest of `text`, for tests of the byte check.
+    docs come in as so many batches (by a hash of doc_id): each leaves a segment and is screened by those before it.
+    digest: another binary digest of `text`, for tests of the byte check.
     """
     text = text_or_empty()
     source = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     chosen = digest if digest is not None else F.unhex(F.sha2(F.col("text"), 256))
     rows = keep(source.select("doc_id", chosen.alias("digest"), F.sha2("text", 256).alias("text_sha256"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")), "digests")
     grouped = keep(rows.groupBy("batch", "digest").agg(F.count("*").alias("copies"), F.max("doc_id").alias("last")), "groups")
-    snapshot = grouped.where("batch = 0").drop("batch")
-    for k in range(1, batches):
-        snapshot = add_batch(snapshot, grouped.where(F.col("batch") == k).drop("batch"))
+    segments = Segments(docs.sparkSession, kept_path(docs.sparkSession, f"segments-{uuid.uuid4().hex}"))
+    for k in range(batches):
+        segments.add(grouped.where(F.col("batch") == k).drop("batch"))
 
     # each thousand copies of a text meet a copy of the text that stays, so that large groups spread
-    several = snapshot.where("copies > 1").withColumn("shares", F.ceil(F.col("copies") / SHARE).cast("int"))
+    several = segments.several().withColumn("shares", F.ceil(F.col("copies") / SHARE).cast("int"))
     known = rows.where("doc_id is not null").select("doc_id", "digest").distinct()
-    members = keep(known.join(several.select("digest", "last", "shares"), "digest").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")), "members")
+    members = keep(_spread_join(known, several.select("digest", "last", "shares")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")), "members")
     n_members = members.count()
     texts = source.join(broadcast_if_small(members, n_members, 500_000), "doc_id").where((chosen if digest is not None else F.unhex(F.sha2(F.col("text"), 256))) == F.col("digest"))
     stays = texts.where("doc_id = last").groupBy("digest", "shares").agg(F.min("text").alias("stays"))
     stays = stays.select("digest", "stays", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"))
     differ = texts.join(stays, ["digest", "part"]).where("text <> stays").select("digest", "doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
     apart = keep(differ.groupBy("digest", "text", "text_sha256").agg(F.max("doc_id").alias("own_last"), F.count("*").alias("own_copies")).drop("text"), "apart")
-    gone = _merged(apart.select("digest", F.col("own_copies").alias("copies"), F.col("own_last").alias("last"))).select("digest", F.col("copies").alias("gone"))
+    gone = apart.groupBy("digest").agg(F.sum("own_copies").alias("gone"))
 
-    result = rows.join(several.select("digest", "copies", "last"), "digest", "left")
+    result = _spread_join(rows, several.select("digest", "copies", "last", "shares"), "left").drop("shares")
     if apart.limit(1).count():
         result = result.join(gone, "digest", "left").join(apart, ["digest", "text_sha256"], "left")
         size = F.coalesce("own_copies", F.col("copies") - F.coalesce("gone", F.lit(0)), F.lit(1))

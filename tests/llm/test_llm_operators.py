@@ -270,6 +270,36 @@ def test_bytes_decide_where_digests_collide(docs, plain):
     assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(once.values())
 
 
+def test_segments_are_never_written_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET", 40)
+    store = exact_dedup.Segments(spark, str(tmp_path / "segments"))
+    batches = [range(0, 200), range(150, 300), range(100, 420, 2), ()]
+    seen, states = {}, []
+    for k, ids in enumerate(batches):
+        rows = [(hashlib.sha256(str(i).encode()).digest(), 1 + i % 3, 1000 * k + i) for i in ids]
+        for d, n, last in rows:
+            seen.setdefault(d, []).append((n, last))
+        store.add(spark.createDataFrame(rows, "digest binary, copies long, last long"))
+        files = {str(f): (f.stat().st_mtime_ns, f.read_bytes()) for f in (tmp_path / "segments").rglob("*") if f.is_file()}
+        for before in states:
+            assert all(files[f] == state for f, state in before.items())
+        states.append(files)
+        # a later application opens the same folder
+        store = exact_dedup.Segments.open(spark, str(tmp_path / "segments"))
+        assert len(store.buckets) == k + 1 and store.buckets[0] == 5
+    want = {d: (sum(n for n, _ in x), max(last for _, last in x)) for d, x in seen.items() if sum(n for n, _ in x) > 1}
+    assert {bytes(r["digest"]): (r["copies"], r["last"]) for r in store.several().collect()} == want
+    assert sum(store.rows(k).count() for k in range(4)) == len(seen)  # a digest lies in one segment
+
+
+def test_exact_dedup_of_a_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARE", 10)
+    monkeypatch.setattr(exact_dedup, "SPREAD", 50)
+    rows = [(i, "one text that a third of all rows hold" if i % 3 == 0 else f"text {i // 4}") for i in range(900)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches=3)
+    assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact([(d, t, None) for d, t in rows])
+
+
 def test_fuse_filter():
     r = np.random.RandomState(1)
     for n in (1, 2, 7, 100, 20_000):
