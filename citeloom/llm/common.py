@@ -32,6 +32,17 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str = "inner", hot: int = 5_000) -> DataFrame:
+    """rows joined with groups(key, n, ...) by key, where n is how many rows a key has. Keys of more than hot rows are
+    broadcast, so that no task gets all rows of one; there are rows / hot of them at most, and their number is checked."""
+    many = keep(groups.where(F.col(n) > hot), "many")
+    count = many.count()
+    if not count or count > 500_000:
+        return rows.join(groups, key, how)
+    others = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(groups.where(F.col(n) <= hot), key, how)
+    return others.unionByName(rows.join(F.broadcast(many), key))
+
+
 #: Rows and bytes of an Arrow batch. Long texts make Spark's 10,000 rows too many for small executors.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 

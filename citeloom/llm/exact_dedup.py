@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep, kept_path, text_or_empty
+from .common import broadcast_if_small, keep, kept_path, spread_join, text_or_empty
 
 #: Digests of a bucket: its filter is built by one task.
 BUCKET = 50_000
@@ -203,19 +203,6 @@ class Segments:
         return keep(more.unionByName(alone.join(more.select("digest"), "digest", "left_anti")), "several")
 
 
-def _spread_join(rows: DataFrame, several: DataFrame, how: str = "inner") -> DataFrame:
-    """rows joined with several by digest; the few digests with many copies are broadcast, so no task gets all their rows.
-
-    A digest of SPREAD copies or more is one of rows / SPREAD at most, and their number is checked as well.
-    """
-    many = keep(several.where(F.col("shares") > SPREAD // SHARE), "many")
-    n = many.count()
-    if not n or n > 500_000:
-        return rows.join(several, "digest", how)
-    others = rows.join(F.broadcast(many.select("digest")), "digest", "left_anti").join(several.where(F.col("shares") <= SPREAD // SHARE), "digest", how)
-    return others.unionByName(rows.join(F.broadcast(many), "digest"))
-
-
 def exact_dedup(docs: DataFrame, batches: int = 2, digest: Column | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs.
 
@@ -234,7 +221,7 @@ def exact_dedup(docs: DataFrame, batches: int = 2, digest: Column | None = None)
     # each thousand copies of a text meet a copy of the text that stays, so that large groups spread
     several = segments.several().withColumn("shares", F.ceil(F.col("copies") / SHARE).cast("int"))
     known = rows.where("doc_id is not null").select("doc_id", "digest").distinct()
-    members = keep(_spread_join(known, several.select("digest", "last", "shares")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")), "members")
+    members = keep(spread_join(known, several.select("digest", "copies", "last", "shares"), "digest", "copies", hot=SPREAD).drop("copies").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")), "members")
     n_members = members.count()
     texts = source.join(broadcast_if_small(members, n_members, 500_000), "doc_id").where((chosen if digest is not None else F.unhex(F.sha2(F.col("text"), 256))) == F.col("digest"))
     stays = texts.where("doc_id = last").groupBy("digest", "shares").agg(F.min("text").alias("stays"))
@@ -243,7 +230,7 @@ def exact_dedup(docs: DataFrame, batches: int = 2, digest: Column | None = None)
     apart = keep(differ.groupBy("digest", "text", "text_sha256").agg(F.max("doc_id").alias("own_last"), F.count("*").alias("own_copies")).drop("text"), "apart")
     gone = apart.groupBy("digest").agg(F.sum("own_copies").alias("gone"))
 
-    result = _spread_join(rows, several.select("digest", "copies", "last", "shares"), "left").drop("shares")
+    result = spread_join(rows, several.select("digest", "copies", "last"), "digest", "copies", "left", SPREAD)
     if apart.limit(1).count():
         result = result.join(gone, "digest", "left").join(apart, ["digest", "text_sha256"], "left")
         size = F.coalesce("own_copies", F.col("copies") - F.coalesce("gone", F.lit(0)), F.lit(1))

@@ -8,8 +8,10 @@
 3. Suspects are grouped by the key itself, which confirms repeats exactly and finds the smallest
    doc_id. Every other document that holds the key gets it on its list of lines to drop.
 
-Filters have 12 to 24 bits a line up to MAX_BITS (64 MB), so what is broadcast is bounded. Beyond that
-more lines are suspected and shuffle; results are the same.
+Filters have 12 to 24 bits a line. Up to MAX_BITS (64 MB) the second one is broadcast. Where lines need
+more, hashes are dealt into shards, each with a pair of filters of its own size, built and asked where the
+shard lies: hashes and 16-byte digests travel there, never lines, and filters grow with the input. Keys
+are then told apart by their 128-bit digests. A shard that a frequent line makes large is asked in parts.
 
 A key is a line without [\\x20\\x09-\\x0D] at both ends, with A-Z lowered. Keys under min_chars code
 points are never dropped. Null and empty texts are one empty line. Rows that share a doc_id count as
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow_map, fold_pages, keep, text_or_empty
+from .common import SPACE, arrow_map, broadcast_if_small, fold_pages, keep, spread_join, text_or_empty
 
 MAX_BITS = 1 << 29
 BITS_A_LINE = 12
@@ -113,7 +115,7 @@ def _batch_hashes(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, list[byt
 def twice_seen(rows: DataFrame, lines: int, min_chars: int, max_bits: int = MAX_BITS) -> np.ndarray:
     """The merged filter of hashes that two documents hold."""
     bits = 1 << max(22, min(max_bits, BITS_A_LINE * max(lines, 1)).bit_length())
-    words = min(bits, max_bits) // 64
+    words = max(PAGE, min(bits, max_bits) // 64)
 
     def build(batches):
         pair = FilterPair(words)
@@ -138,11 +140,108 @@ def twice_seen(rows: DataFrame, lines: int, min_chars: int, max_bits: int = MAX_
     return out
 
 
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """By bits that neither the place nor the mask of a filter uses alone."""
+    return ((hashes >> np.uint64(24)) & np.uint64(shards - 1)).astype(np.int32)
+
+
+def _shard_filters(rows: DataFrame, shards: int, words: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(shard, twice) and (shard, parts): each shard's filter of hashes that two documents hold, and into how many
+    parts the documents that ask it are dealt. A batch of documents sends a hash once, with the number of its documents."""
+
+    def send():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found, n = np.unique(_batch_hashes(batch.column(1), min_chars)[0], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(shard_of(found, shards)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["shard", "hash", "n"])
+
+        return step
+
+    sent = keep(arrow_map(rows, "shard int, hash long, n long", send), "hashes")
+
+    def build(batches):
+        current, pair = None, None
+        for batch in batches:
+            shard = np.asarray(batch.column(0))
+            hashes, n = np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2))
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if shard[a] != current:
+                    if pair is not None:
+                        yield _packed(current, pair.twice)
+                    current, pair = int(shard[a]), FilterPair(words)
+                own = hashes[a:b]
+                again = np.unique(own[n[a:b] > 1])
+                pair.put(pair.twice, pair.places(again), pair.masks(again))
+                pair.add(own)
+        if pair is not None:
+            yield _packed(current, pair.twice)
+
+    filters = keep(sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, twice binary"), "filters")
+    parts = sent.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.ceil(F.col("n") * BITS_A_LINE / (words * 64 * 4)).cast("int").alias("parts"))
+    return filters, parts
+
+
+def _packed(shard: int, twice: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["shard", "twice"])
+
+
+def suspects_by_shard(rows: DataFrame, lines: int, min_chars: int, max_bits: int) -> DataFrame:
+    """doc_id, digest of the lines that their shard's second filter holds."""
+    shards = 1 << max(1, (BITS_A_LINE * lines // max_bits).bit_length())
+    words = 1 << max(6, min(max_bits, 2 * BITS_A_LINE * lines // shards).bit_length() - 7)
+    filters, parts = _shard_filters(rows, shards, words, min_chars)
+
+    def ask():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hashes, keys, counts = _batch_hashes(batch.column(1), min_chars)
+            owner = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array([digest(k) for k in keys], pa.binary()), pa.array(hashes.view(np.int64)), pa.array(shard_of(hashes, shards))], names=["doc_id", "digest", "hash", "shard"])
+
+        return step
+
+    small = broadcast_if_small(parts, shards)
+    asked = arrow_map(rows, "doc_id long, digest binary, hash long, shard int", ask).join(small, "shard")
+    asked = asked.select("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("twice"), "doc_id", "digest", "hash")
+    held = filters.join(small, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "twice", *(F.lit(None).cast(k).alias(c) for c, k in (("doc_id", "long"), ("digest", "binary"), ("hash", "long"))))
+    dealt = asked.unionByName(held).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+
+    def test(batches):
+        pair = FilterPair(words)
+        for batch in batches:
+            kind = np.asarray(batch.column("kind"))
+            borders = np.flatnonzero(kind == 0).tolist()
+            for a, b in zip([0, *borders], [*borders, len(kind)], strict=True):
+                if b > a and kind[a] == 0:
+                    pair.twice = np.frombuffer(zlib.decompress(batch.column("twice")[a].as_py()), np.uint64)
+                    a += 1
+                if b > a:
+                    some = batch.slice(a, b - a)
+                    hashes = np.asarray(some.column("hash")).view(np.uint64)
+                    masks = pair.masks(hashes)
+                    hit = pa.array((pair.twice[pair.places(hashes)] & masks) == masks)
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id").filter(hit), some.column("digest").filter(hit)], names=["doc_id", "digest"])
+
+    return dealt.mapInArrow(test, "doc_id long, digest binary")
+
+
 def lines_to_drop(docs: DataFrame, min_chars: int = 10, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id and digests (array<binary>) of the keys whose lines go, for documents that lose any."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     lines = rows.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
-    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(rows, lines, min_chars, max_bits))
+    keys = ["digest"]
+    if BITS_A_LINE * lines > max_bits:
+        suspects = keep(suspects_by_shard(rows, lines, min_chars, max_bits), "suspects")
+    else:
+        suspects, keys = keep(suspects_by_broadcast(rows, lines, min_chars, max_bits), "suspects"), ["digest", "key"]
+    repeats = suspects.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("digest", "first", "n")
+    return spread_join(suspects.select("doc_id", "digest"), repeats, "digest", "n").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
+
+
+def suspects_by_broadcast(rows: DataFrame, lines: int, min_chars: int, max_bits: int) -> DataFrame:
+    """doc_id, digest and key of the lines that the second filter holds."""
+    sent = rows.sparkSession.sparkContext.broadcast(twice_seen(rows, lines, min_chars, max_bits))
 
     def work():
         seen = FilterPair(64)
@@ -159,9 +258,7 @@ def lines_to_drop(docs: DataFrame, min_chars: int = 10, max_bits: int = MAX_BITS
 
         return step
 
-    suspects = keep(arrow_map(rows, "doc_id long, digest binary, key string", work), "suspects")
-    repeats = suspects.groupBy("digest", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    return suspects.select("doc_id", "digest").join(repeats, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
+    return arrow_map(rows, "doc_id long, digest binary, key string", work)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, max_bits: int = MAX_BITS, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
