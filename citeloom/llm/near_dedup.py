@@ -7,10 +7,13 @@
    frequent passages stay out. Rarity comes from a hashed count table of fixed size. Each list names its
    smallest document, the pivot, and documents are gathered by pivot, so that a list of N documents
    gives N rows, never N^2.
-3. Within a pivot's group (cut by set size, and into bounded chunks that meet pair by pair) union-sketch
-   estimates drop documents that have no likely partner.
+3. Within a pivot's group (cut by set size) union-sketch estimates drop documents that have no likely partner.
 4. The rest are read again; the exact Jaccard similarity of their full sets of shingle hashes decides.
    A group returns a spanning forest of its links, which keeps components whole.
+5. A group of over CHUNK_DOCS documents first meets a few leaders, chosen by a hash, chunk by chunk: N
+   documents give N rows. Those that a leader's links join are in one component already, so they need
+   not meet each other. What is left meets across the parts so found: chunks of one part never meet, and
+   a group of edited copies is done with its leaders. Chunks of different parts meet pair by pair.
 
 The shortest overlap a lies 0.25 below the threshold: a true link of threshold similarity falls short of
 it with a probability of about 1e-7 at k = 64. Hashes have 64 bits.
@@ -29,18 +32,20 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow_map, broadcast_if_small, by_group, fold_pages, keep, text_or_empty
+from .common import SPACE, arrow_map, broadcast_if_small, by_group, fold_pages, keep, spread_join, text_or_empty
 from .components import components
 
 #: Cells of the hashed count table: 4 MB whatever the input. Only an order is taken from it, and any order is right.
 CELLS = 1 << 20
 PAGE = 1 << 16
 #: Documents, and shingles in all, of a chunk at most; a group's task holds two chunks.
-CHUNK_DOCS = 768
+CHUNK_DOCS = 512
 CHUNK_SHINGLES = 1_500_000
+#: Documents that all others of a large group meet first.
+LEADERS = 4
 #: How far below the threshold the shared part of two sketches may fall.
 SLACK = 0.25
 DEVIATIONS = 5.5
@@ -182,13 +187,60 @@ def listed_values(sketches: DataFrame, counts: np.ndarray, share: float) -> Data
     return arrow_map(sketches.select("doc_id", "n_shingles", "sketch"), "value long, doc_id long, n_shingles long", work)
 
 
-def _chunked(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Deal large groups into chunks that meet pair by pair: adds low, high and side (0: low's, 1: high's)."""
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")).where("docs > 1")
+GROUP = ["pivot", "g"]
+KEYS = [*GROUP, "low", "high"]
+MEMBER = [*GROUP, "doc_id", "n_shingles", "band"]
+
+
+def _hashed(pieces: Column | str) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.col(pieces) if isinstance(pieces, str) else pieces).cast("int")
+
+
+def _group_sizes(members: DataFrame) -> DataFrame:
+    sizes = members.groupBy(*GROUP).agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")).where("docs > 1")
     chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
-    dealt = members.join(sizes.select(*keys, chunks.alias("chunks")), keys)
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return dealt.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side")).drop("own", "other", "chunks")
+    return keep(sizes.select(*GROUP, chunks.alias("chunks")), "sizes")
+
+
+def _with_leaders(large: DataFrame) -> DataFrame:
+    """large(MEMBER, chunks): every chunk of a group (side 1) with the group's leaders (side 0)."""
+    order = Window.partitionBy(*GROUP).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    leaders = large.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= LEADERS).drop("_n")
+    first = leaders.select(*MEMBER, F.lit(-1).alias("low"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("high"), F.lit(0).alias("side"))
+    return first.unionByName(large.select(*MEMBER, F.lit(-1).alias("low"), _hashed("chunks").alias("high"), F.lit(1).alias("side")))
+
+
+def _across_parts(large: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of large groups dealt into chunks that meet pair by pair: adds low, high and side (0: low's, 1: high's).
+
+    found(node, component): what is linked so far. Chunks that hold one component only don't meet each other.
+    """
+    n_found = found.count()
+    part = large.join(broadcast_if_small(found.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), n_found, 500_000), "doc_id", "left")
+    part = keep(part.withColumn("part", F.coalesce("part", "doc_id")), "parts")
+    counts = part.groupBy(*GROUP, "part").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    pieces = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    wide = keep(counts.where(F.col("docs") * 4 >= CHUNK_DOCS).select(*GROUP, "part", pieces.alias("pieces")), "wide")
+    n_wide = wide.count()
+    # small parts share chunks; their part is null from here on
+    named = part.join(broadcast_if_small(wide.select(*GROUP, "part", F.lit(True).alias("own")), n_wide), [*GROUP, "part"], "left").withColumn("part", F.when(F.col("own"), F.col("part"))).drop("own")
+    rest = named.where("part is null").groupBy(*GROUP).agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles")).select(*GROUP, F.lit(None).cast("long").alias("part"), pieces.alias("pieces"))
+    chunks = wide.unionByName(rest).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    number = F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.col("part").asc_nulls_first(), "piece")) - 1
+    chunks = keep(chunks.withColumn("own", number), "chunks")
+    n_chunks = chunks.count()
+    other = chunks.select(*GROUP, F.col("part").alias("other_part"), F.col("own").alias("other"))
+    meets = chunks.join(other, GROUP).where("own <= other and (part is null or other_part is null or part <> other_part)")
+    low = meets.select(*GROUP, "part", "piece", "pieces", F.col("own").alias("low"), F.col("other").alias("high"), F.lit(0).alias("side"))
+    back = chunks.withColumnRenamed("own", "other").join(meets.where("own < other").select(*GROUP, "own", "other"), [*GROUP, "other"])
+    high = back.select(*GROUP, "part", "piece", "pieces", F.col("own").alias("low"), F.col("other").alias("high"), F.lit(1).alias("side"))
+    seats = keep(low.unionByName(high), "seats")
+    pieces_of = chunks.select(*GROUP, F.col("part").alias("_part"), "pieces").distinct()
+    placed = named.join(broadcast_if_small(pieces_of, n_chunks), [named[c] == pieces_of[c] for c in GROUP] + [named["part"].eqNullSafe(pieces_of["_part"])]).select(*(named[c] for c in [*MEMBER, "part"]), _hashed("pieces").alias("_piece"))
+    seats = seats.select(*(F.col(c).alias(f"_{c}") for c in GROUP), F.col("part").alias("_part"), F.col("piece").alias("_own_piece"), "low", "high", "side")
+    n_seats = seats.count()
+    match = (F.col("pivot") == F.col("_pivot")) & (F.col("g") == F.col("_g")) & F.col("part").eqNullSafe(F.col("_part")) & (F.col("_piece") == F.col("_own_piece"))
+    return placed.join(broadcast_if_small(seats, n_seats, 500_000), match).select(*MEMBER, "low", "high", "side")
 
 
 def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -292,6 +344,19 @@ def confirmed(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([d for _, d in out], pa.int64())}) if out else empty
 
 
+def _confirmed_links(docs: DataFrame, stands: DataFrame, dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: a spanning forest of the exact links within dealt(MEMBER, low, high, side)'s groups of KEYS."""
+    grouped = keep(dealt, "dealt")
+    columns = "pivot long, g int, doc_id long, n_shingles long, band int, low int, high int, side int"
+    names = [c.split()[0] for c in columns.split(", ")]
+    with_sketch = stands.select("doc_id", "sketch").join(broadcast_if_small(grouped, grouped.count(), 500_000), "doc_id")
+    near = keep(by_group(with_sketch.select(*names, "sketch"), KEYS, ["side"], columns, lambda group: likely(group, percent).select(names)), "likely")
+    wanted = keep(near.select("doc_id").distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(wanted, wanted.count()), "doc_id", "left_semi")
+    pairs = full_sets(texts, width).join(broadcast_if_small(near, near.count(), 500_000), "doc_id")
+    return by_group(pairs.select("doc_id", "hashes", *KEYS, "side"), KEYS, ["side"], "a long, b long", lambda group: confirmed(group, percent))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     t = percent / 100
@@ -302,32 +367,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     stands = table.join(broadcast_if_small(chosen, n_classes, 500_000), ["digest", "doc_id"], "left_semi")
 
     listed = listed_values(stands, value_counts(stands), max(0.05, t - SLACK))
-    pivots = listed.groupBy("value").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("value", "pivot")
+    pivots = listed.groupBy("value").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("pivot < last").select("value", "pivot", "n")
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(max(-np.log(t), 1e-6)) * 1.0001)).cast("int")
-    members = listed.join(pivots, "value").select("pivot", "doc_id", "n_shingles").distinct().withColumn("band", band)
-    members = members.withColumn("g", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    grouped = keep(_chunked(members, ["pivot", "g"]), "members")
-
-    rows = grouped.count()
-    keys = ["pivot", "g", "low", "high"]
-    columns = "pivot long, g int, doc_id long, n_shingles long, band int, low int, high int, side int"
-    names = [c.split()[0] for c in columns.split(", ")]
-    with_sketch = stands.select("doc_id", "sketch").join(broadcast_if_small(grouped, rows, 500_000), "doc_id")
-    near = keep(by_group(with_sketch.select(*names, "sketch"), keys, ["side"], columns, lambda group: likely(group, percent).select(names)), "likely")
-
-    wanted = keep(near.select("doc_id").distinct(), "wanted")
-    n_wanted = wanted.count()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(wanted, n_wanted), "doc_id", "left_semi")
-    sets = full_sets(texts, width)
-    pairs = sets.join(broadcast_if_small(near, near.count(), 500_000), "doc_id")
-    links = by_group(pairs.select("doc_id", "hashes", *keys, "side"), keys, ["side"], "a long, b long", lambda group: confirmed(group, percent))
-    shared_ids = table.where("n_shingles > 0 and doc_id is not null").join(classes.where("copies > 1").select("digest", "rep"), "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    twice = shared_ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a")
-    twice = twice.join(shared_ids, "doc_id").select("a", F.col("rep").alias("b"))
+    members = spread_join(listed, pivots, "value", "n").select("pivot", "doc_id", "n_shingles").distinct().withColumn("band", band)
+    members = keep(members.withColumn("g", F.explode(F.array(F.col("band"), F.col("band") - 1))).select(*MEMBER), "members")
+    sizes = _group_sizes(members)
+    large_groups = sizes.where("chunks > 1")
+    n_large = large_groups.count()
+    few = broadcast_if_small(large_groups, n_large)
+    others = members.join(few.select(*GROUP), GROUP, "left_anti") if n_large else members
+    small = others.join(sizes.where("chunks = 1").select(*GROUP), GROUP, "left_semi").select(*MEMBER, F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
+    if n_large:
+        large = keep(members.join(few, GROUP), "large")
+        links = keep(_confirmed_links(docs, stands, small.unionByName(_with_leaders(large)), width, percent), "links")
+        dealt = keep(_across_parts(large, components(links)), "dealt")
+        if dealt.limit(1).count():
+            links = links.unionByName(_confirmed_links(docs, stands, dealt, width, percent))
+    else:
+        links = _confirmed_links(docs, stands, small, width, percent)
+    # rows that share an id but not a set
+    known = table.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest")
+    several = keep(known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id"), "several")
+    shared_ids = known.join(broadcast_if_small(several, several.count()), "doc_id", "left_semi").distinct().join(classes, "digest").select("doc_id", "rep")
+    twice = shared_ids.groupBy("doc_id").agg(F.min("rep").alias("a")).join(shared_ids, "doc_id").select("a", F.col("rep").alias("b"))
     found = keep(components(links.unionByName(twice)), "components")
 
-    result = table.select("doc_id", "n_shingles", "digest").join(classes.where("copies > 1").select("digest", "rep"), "digest", "left")
-    result = result.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    labels = found.select(F.col("node").alias("rep"), "component")
-    result = result.join(labels, "rep", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep")).otherwise(F.col("doc_id")))
+    # a class brings its component along; rows of no class look theirs up by id
+    shared = classes.where("copies > 1").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("of_class"), "copies")
+    result = spread_join(table.select("doc_id", "n_shingles", "digest"), shared, "digest", "copies", "left")
+    result = result.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    result = result.withColumn("component_id", F.when(linked, F.coalesce("of_class", "component", "doc_id")).otherwise(F.col("doc_id")))
     return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -152,12 +152,22 @@ def brute_lines(plain, min_chars=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bits", [line_dedup.MAX_BITS, 1 << 22])
+@pytest.mark.parametrize("bits", [line_dedup.MAX_BITS, 1 << 22, 1 << 8])
 def test_line_dedup(docs, plain, bits):
     got = line_dedup.dedup_lines(docs, max_bits=bits)
     assert rows_of(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute_lines(plain)
 
 
+def test_a_line_of_a_third_of_all_documents_in_shards(spark):
+    r = np.random.RandomState(4)
+    rows = [(i, "\n".join(["the one line that a third of them hold"] * (i % 3 == 0) + [f"line number {r.randint(2500)} of them" for _ in range(8)])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_lines([(d, t, None) for d, t in rows])
+    assert rows_of(line_dedup.dedup_lines(df, max_bits=1 << 13), "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
+    _, parts = line_dedup._shard_filters(df, 16, 16, 10)
+    assert parts.agg(F.max("parts")).first()[0] > parts.agg(F.min("parts")).first()[0]  # the hot line's shard is asked in more parts
+
+
 def test_line_filters_lose_nothing():
     r = np.random.RandomState(2)
     a, b = r.randint(0, 1 << 62, 5000).astype(np.uint64), r.randint(0, 1 << 62, 5000).astype(np.uint64)
@@ -337,8 +347,10 @@ def test_near_duplicates(docs, plain, width, percent):
     assert all(r["component_id"] is None and r["kept"] for r in got.where("doc_id is null").collect())
 
 
-def test_near_group_of_edited_copies(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CHUNK_DOCS", 16)  # many chunks that meet pair by pair
+@pytest.mark.parametrize("leaders", [1, 4])
+def test_near_group_of_edited_copies(spark, monkeypatch, leaders):
+    monkeypatch.setattr(near_dedup, "CHUNK_DOCS", 16)  # leaders, and many chunks that meet pair by pair
+    monkeypatch.setattr(near_dedup, "LEADERS", leaders)
     base = prose(11, 300).split()
     r = np.random.RandomState(8)
     rows = []
@@ -348,12 +360,30 @@ def test_near_group_of_edited_copies(spark, monkeypatch):
             w[j] = f"edit{i}x{j}"
         rows.append((i, " ".join(w)))
     rows += [(100 + i, prose(50 + i, 120) + " " + " ".join(base[:60])) for i in range(25)]  # a passage in common, no copies
+    other = base[:150] + prose(12, 150).split()
+    for i in range(40):  # a second group that shares half of its text with the first
+        w = list(other)
+        w[150 + 3 * i] = f"other{i}"
+        rows.append((200 + i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_near([(d, t, None) for d, t in rows], 3, 85)
     got = near_dedup.near_duplicates(df, 3, 85)
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
 
 
+def test_a_very_large_group_of_edited_copies(spark, monkeypatch):
+    n, words = 50_000, 120
+    base = prose(21, words).split()
+    edited = F.concat_ws(" ", F.transform(F.lit(base), lambda w, j: F.when(j == F.col("doc_id") % words, F.concat(F.lit("edit"), F.col("doc_id").cast("string"))).otherwise(w)))
+    df = spark.range(n).withColumnRenamed("id", "doc_id").select("doc_id", edited.alias("text")).repartition(8)
+    dealt = []
+    whole = near_dedup._confirmed_links
+    monkeypatch.setattr(near_dedup, "_confirmed_links", lambda docs, stands, rows, *a: dealt.append(rows.count()) or whole(docs, stands, rows, *a))
+    got = near_dedup.near_duplicates(df, 3, 85).agg(F.count("*"), F.min("component_id"), F.max("component_id"), F.sum(F.col("kept").cast("int"))).first()
+    assert tuple(got) == (n, 0, 0, 1)
+    assert len(dealt) == 1 and sum(dealt) < 4 * n  # leaders find everybody; no chunks are left to meet
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 50), (7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
