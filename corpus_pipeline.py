@@ -13,24 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import bpe, line_dedup, mixing, near_dedup, quality
-from citeloom.llm.common import keep, table
+from citeloom.llm.common import keep, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the cut. Rows are judged alone: repeated rows stay or go together, a null id
+    changes nothing, a score at the cut stays. Without labels of both kinds nothing is rejected."""
+    small_batches(spark)
     ranking = quality.train(docs, table(spark, sf_dir, "labels"))
     others = tuple(c for c in COLUMNS if c != "doc_id")
     return quality.score_documents(docs, ranking, carry=others).where("predicted = 1").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without lines that a smaller id holds. Rows of one id count as one document; rows without an id keep
+    all their lines and count for nobody."""
+    small_batches(spark)
     out = line_dedup.dedup_lines(docs, carry=("lang", "source"), with_text=True)
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups' other members are the smaller side to look up. Each text of a document stays once, with the least of its other columns."""
+    """One document of each group, the one with the least id. Each text of a document stays once, with the least of its
+    other columns. Rows without an id link with nothing and stay. What is looked up are the groups' other members, the smaller side."""
+    small_batches(spark)
     found = keep(near_dedup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "leaving")
     small = found.count() <= 500_000
     gone, again = found.where("not kept").select("doc_id"), found.where("kept").select("doc_id")
@@ -43,12 +51,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each take of a document, the last of a budget cut to its words; texts without words are never taken.
+    Null is a source of its own, the last one. Equal rows, whether or not they have an id, are taken as often as all of them together."""
+    small_batches(spark)
     return mixing.mixed_documents(docs, mixing.mix(docs), COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every row, as digests. Rows are encoded alone; a null id changes nothing."""
     import public_tokenizers
 
+    small_batches(spark)
     return bpe.bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
