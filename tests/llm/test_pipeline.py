@@ -74,7 +74,7 @@ def odd_rows():
     base = prose(77, 200)
     rows += [(300 + i, base.replace(base.split()[9], f"edit{i}", 1), "s0") for i in range(8)]
     rows += [(400, prose(78, 20_000), "s0"), (401, "z" * 100_000, None), (402, "", "s0"), (403, None, None), (404, " \n ", "s9")]
-    rows += [(5, prose(500, 60), "s4"), (5, prose(500, 60), "s4"), (300, prose(501, 70), "s4")]  # ids that come again, with other texts and the same
+    rows += [(5, prose(500, 60), "s4"), (5, prose(500, 60), "s4"), (205, prose(501, 70), "s4")]  # ids that come again, with other texts and the same
     rows += [(None, prose(502, 30), "s1"), (None, prose(502, 30), "s1"), (None, prose(503, 30), None), (None, None, None)]
     return rows
 
@@ -110,9 +110,9 @@ def test_every_stage_against_plain_python(spark, tmp_path):
     dropped = {d for d, _, _, kept in brute_near(single, 5, 80) if not kept}
     near = as_rows("near_dedup")
     assert {d for d, _, _ in near if d is not None} >= {d for d, _, _ in single} - dropped
-    assert {d for d, _, _ in near if d is not None} <= {*known} - {d for d in dropped if d not in (5, 300)}
+    assert {d for d, _, _ in near if d is not None} <= {*known} - {d for d in dropped if d not in (5, 205)}
     assert sum(d is None for d, _, _ in near) == sum(d is None for d, _, _ in got)  # rows without an id stay
-    assert {t for d, t, _ in near if d in (5, 300)} >= {prose(500, 60)}
+    assert {t for d, t, _ in near if d in (5, 205)} >= {prose(500, 60)}
 
     words = lambda t: len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w])
     taken = {}
