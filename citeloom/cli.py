@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, read_config
@@ -36,25 +36,6 @@ def settings(c: Config) -> Settings:
     )
 
 
-def seed_reputations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """initial_author_reputation of fresh nodes: the h-index of the author's papers up to the node's year, by final degrees.
-
-    A paper of g citations counts for the levels 1 to min(g, the author's final h-index). The d-th paper of
-    level d, by year, is when the author reaches d; so levels are counted, papers never meet each other.
-    """
-    degree = keep(gr.in_degrees(nodes, edges), "degree")
-    final = gr.author_h_index(nodes, degree)
-    papers = nodes.select("node_id", "author_id", "year").join(degree, "node_id").join(final, "author_id")
-    levels = papers.where("least(in_degree, h) > 0").select("author_id", "year", F.explode(F.sequence(F.lit(1).cast("long"), F.least("in_degree", "h"))).alias("level"))
-    counts = levels.groupBy("author_id", "level", "year").agg(F.count("*").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("author_id", "level").orderBy("year"))
-    reached = counts.withColumn("so_far", so_far).where("so_far >= level").groupBy("author_id", "level").agg(F.min("year").alias("year"))
-    steps = reached.groupBy("author_id", "year").agg(F.count("*").alias("up")).unionByName(nodes.select("author_id", "year", F.lit(0).cast("long").alias("up")).distinct())
-    h = F.sum("up").over(Window.partitionBy("author_id").orderBy("year"))
-    by_year = steps.groupBy("author_id", "year").agg(F.sum("up").alias("up")).select("author_id", "year", h.cast("int").alias("initial_author_reputation"))
-    return nodes.join(by_year, ["author_id", "year"], "left")
-
-
 def simulate(spark: SparkSession, c: Config) -> State:
     edges = keep(readers.read_edgelist(spark, c.edgelist), "edges")
     bag, authors_bag = readers.read_out_degree_bag(spark, c.out_degree_bag), readers.read_bag(spark, c.num_authors_bag)
@@ -64,7 +45,7 @@ def simulate(spark: SparkSession, c: Config) -> State:
         nodes = nodes.drop("in_degree", "out_degree", "cartel_id", "final_author_reputation", *([] if c.keep_fitness else ["num_authors"]))
     else:
         nodes, authors = au.first_authors(readers.read_nodelist(spark, c.nodelist), c.author_max_lifetime, c.seed)
-        nodes = seed_reputations(nodes, edges)
+        nodes = gr.seed_reputations(nodes, edges)
     unknown = gr.node_set(edges).join(nodes, "node_id", "left_anti").limit(1).count()
     if unknown:
         raise ValueError("an edge has an end that the node list lacks")

@@ -48,6 +48,8 @@ def main(argv: list[str] | None = None) -> int:
     found, ignored = find(nodes, edges, c.objective, c.resolution)
     if ignored:
         print(f"{ignored} edges with an unknown end were left out")
+    found = keep(found, "found")
+    print(f"{found.select('cluster_id').distinct().count()} communities")
     write_communities(found, c.output)
     return 0
 

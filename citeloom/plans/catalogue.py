@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +17,8 @@ from ..operators import graph as gr
 from ..operators import neighborhood as ne
 from ..operators import quota as qu
 from ..operators import sampling as sa
-from .state import keep
+from ..sources import readers, sinks
+from .state import keep, kept_path
 from .views import NOW, SQL, Views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -298,6 +300,22 @@ def two_hop_pruned(v: Views) -> DataFrame:
     return ne.prune_cluster(capped_hops(v).where("hop = 2"), active, v.nodes).select("agent", "candidate")
 
 
+@query(CARTEL_IN_SQL + " select agent, hop, candidate from hops h anti join cin c on c.agent = h.agent and c.candidate = h.candidate")
+def drop_cited(v: Views) -> DataFrame:
+    hopped = keep(capped_hops(v), "hops")
+    near = ca.in_neighborhood(cartel_agents(v), cartel_table(v), v.nodes, hopped, u("cartel", "agent", "candidate"))
+    return ne.drop_cited(hopped, near.select("agent", F.col("candidate").alias("target")))
+
+
+@query(CAP2_SQL + f""", mine as (select agent, generator, cluster_id as own from picks join nodes on node_id = generator where cluster_id in (select cluster_id from nodes where year < 2001 group by cluster_id having count(*) >= {PRUNE_THETA}))
+  select agent, 1 as hop, candidate from cap1 anti join mine using (agent) union all select agent, 1, node_id from mine join nodes on cluster_id = own where year < 2001 and node_id <> generator
+  union all select agent, 2, candidate from cap2 join nodes on node_id = candidate left join mine using (agent) where own is null or own <> cluster_id""")
+def cluster_override(v: Views) -> DataFrame:
+    picks = keep(ag.inherit_cluster(generator_picks(v), v.nodes).withColumn("alpha", F.lit(0.5)), "picks")
+    active = keep(ne.active_clusters(picks, v.nodes, NOW, PRUNE_THETA), "active")
+    return ne.cluster_override(keep(capped_hops(v), "hops"), active, v.nodes, NOW)
+
+
 # --- quotas -------------------------------------------------------------------------------------------------
 
 QUOTA_SQL = f""", a0 as (select agent, author_id, (agent % 40 + 1)::int as d, case when {us('same', 'agent')} < 0.12 then 1 else 0 end as s, case when author_id % 100 = 1 then 1 else 0 end as cartel_id from agents),
@@ -484,7 +502,13 @@ def cartel_neighbourhood_authors(v: Views) -> DataFrame:
     return ca.neighborhood_authors(cartel_agents(v).withColumn("cartel", F.lit(3)), cartel_table(v), v.nodes, capped_hops(v))
 
 
-@query()
+OUT_SQL = CARTEL_IN_SQL + (
+    f", cout as (select agent, partner, candidate from (select p.agent, p.partner, node_id as candidate, row_number() over (partition by p.agent, p.partner order by {us('cartel', 'p.agent', 'node_id')}, node_id) as n"
+    " from partners p join nodes on author_id = partner join ca on ca.agent = p.agent and node_id <> generator anti join cin on cin.agent = p.agent and cin.partner = p.partner) where n = 1)"
+)
+
+
+@query(OUT_SQL + f" select agent, candidate as target from (select *, row_number() over (partition by agent order by part, o, partner) as n from (select agent, partner, candidate, 0 as part, {us('null', 'agent', 'candidate')} as o from cin union all select agent, partner, candidate, 1, partner::double from cout)) where n <= 3")
 def cartel_null(v: Views) -> DataFrame:
     members = keep(cartel_agents(v).withColumn("cartel", F.lit(3)), "cartel")
     near = keep(ca.in_neighborhood(members, cartel_table(v), v.nodes, capped_hops(v), u("cartel", "agent", "candidate")), "near")
@@ -588,10 +612,8 @@ def growth_projection(v: Views) -> DataFrame:
 @query(DEG_SQL + """ select node_id, 'seed' as type, year, -1.0::double as alpha, coalesce(o, 0)::bigint as out_degree, in_degree::bigint as in_degree, 'no_generators' as generator_node_string, -1 as cartel_id, cluster_id
   from nodes join deg using (node_id) left join (select source, count(*) as o from edges group by source) on source = node_id""")
 def nodelist_export(v: Views) -> DataFrame:
-    from ..sources.sinks import nodelist_rows
-
     rows = v.nodes.withColumn("type", F.lit("seed")).withColumn("alpha", F.lit(0.7))
-    return nodelist_rows(rows, gr.degrees(v.nodes, v.edges), None, None).select("node_id", "type", "year", F.col("alpha").cast("double").alias("alpha"), "out_degree", "in_degree", "generator_node_string", "cartel_id", "cluster_id")
+    return sinks.nodelist_rows(rows, gr.degrees(v.nodes, v.edges), None, None).select("node_id", "type", "year", F.col("alpha").cast("double").alias("alpha"), "out_degree", "in_degree", "generator_node_string", "cartel_id", "cluster_id")
 
 
 @query(" select source as node_id, string_agg(target::varchar, ';' order by target) as encoded, count(*)::int as n from edges group by source")
@@ -601,6 +623,60 @@ def generator_string_roundtrip(v: Views) -> DataFrame:
     return encoded.withColumn("back", scores.parse_int_list(F.col("encoded"))).select("node_id", scores.int_list(F.col("back")).alias("encoded"), F.size("back").alias("n"))
 
 
+def on_file(v: Views, rows: DataFrame, name: str) -> str:
+    """A CSV file in the shared folder."""
+    path = kept_path(v.spark, f"{name}-{uuid.uuid4().hex}")
+    sinks.write_csv(rows, path, *rows.columns)
+    return path
+
+
+@query(" select source, target from edges")
+def edgelist_file(v: Views) -> DataFrame:
+    """Written by the sink, its delimiter found and read again."""
+    path = kept_path(v.spark, f"edgelist-{uuid.uuid4().hex}")
+    sinks.write_edgelist(v.edges, path)
+    return readers.read_edgelist(v.spark, path)
+
+
+@query(" select node_id, year, 'seed' as type, 0 as fit_lag, 1000 as fit_duration, 1 as fit_value from nodes")
+def nodelist_file(v: Views) -> DataFrame:
+    return readers.read_nodelist(v.spark, on_file(v, v.nodes.select("node_id", F.col("year").alias("publication_year")), "nodelist"))
+
+
+@query(" select author_id, min(year) as birth_year, count(*) as pub_count, case when author_id % 100 in (1, 2) then (author_id % 100 = 1)::int end as cartel_id from nodes group by author_id")
+def checkpoint_file(v: Views) -> DataFrame:
+    """A node list of an earlier run: authors, their first year, papers and group."""
+    group = F.when(F.col("author_id") % 100 == 1, 1).when(F.col("author_id") % 100 == 2, 0).otherwise(-1)
+    rows = v.nodes.select("node_id", "year", F.lit("seed").alias("type"), "author_id", group.alias("cartel_id"))
+    authors = readers.checkpoint_authors(readers.read_checkpoint(v.spark, on_file(v, rows, "checkpoint")))
+    return authors.withColumn("author_id", F.col("author_id").cast("long"))
+
+
+@query(AGE_SQL + " select age::int as age, n as count from ages")
+def recency_file(v: Views) -> DataFrame:
+    return readers.read_recency_table(v.spark, on_file(v, gr.recency_histogram(v.edges, v.nodes_all).select("age", "count"), "recency"))
+
+
+@query(" select n::int as value, count(*) as rows from (select source, count(*) as n from edges_all group by source) group by n")
+def out_degree_bag_file(v: Views) -> DataFrame:
+    bag = v.edges_all.groupBy("source").agg(F.count("*").alias("n"))
+    return readers.read_out_degree_bag(v.spark, on_file(v, bag, "bag")).groupBy("value").agg(F.count("*").alias("rows"))
+
+
+@query(" select node_id, cluster_id::bigint as cluster_id from nodes")
+def community_file(v: Views) -> DataFrame:
+    path = kept_path(v.spark, f"communities-{uuid.uuid4().hex}")
+    sinks.write_communities(v.nodes, path)
+    return readers.with_communities(v.nodes.select("node_id"), readers.read_communities(v.spark, path))
+
+
+@query(DEG_SQL + """, up as (select distinct a.author_id, a.year, b.node_id, in_degree from nodes a join nodes b on a.author_id = b.author_id and b.year <= a.year join deg on deg.node_id = b.node_id),
+  r as (select author_id, year, in_degree, row_number() over (partition by author_id, year order by in_degree desc) as rn from up), h as (select author_id, year, (count(*) filter (in_degree >= rn))::int as h from r group by author_id, year)
+  select node_id, h as initial_author_reputation from nodes join h using (author_id, year)""")
+def seed_reputation(v: Views) -> DataFrame:
+    return gr.seed_reputations(v.nodes.select("node_id", "author_id", "year"), v.edges).select("node_id", "initial_author_reputation")
+
+
 @query(" select node_id, row_number() over (order by node_id) - 1 as idx from nodes")
 def dense_ids(v: Views) -> DataFrame:
     return gr.dense_ids(v.nodes)

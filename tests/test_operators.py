@@ -211,8 +211,6 @@ def test_first_authors_follow_the_law(spark):
 
 
 def test_seed_reputation_is_the_h_index_up_to_the_year(spark):
-    from citeloom.cli import seed_reputations
-
     r = random.Random(2)
     papers = [(i, r.randrange(6), 1990 + r.randrange(8)) for i in range(120)]
     edges = [(a, b) for a in range(120) for b in range(a) if r.random() < 0.04]
@@ -223,7 +221,7 @@ def test_seed_reputation_is_the_h_index_up_to_the_year(spark):
         return sum(x >= k + 1 for k, x in enumerate(d))
 
     nodes = spark.createDataFrame(papers, "node_id long, author_id long, year int")
-    got = seed_reputations(nodes, spark.createDataFrame(edges, "source long, target long")).collect()
+    got = gr.seed_reputations(nodes, spark.createDataFrame(edges, "source long, target long")).collect()
     assert {r["node_id"]: r["initial_author_reputation"] for r in got} == {i: h(a, y) for i, a, y in papers}
 
 
