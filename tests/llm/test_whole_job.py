@@ -83,3 +83,42 @@ def test_phone_of_single_digits(spark):
     row = pii.pii_spans(spark.createDataFrame([(1, text), (2, "a + b, + 4 - 9")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["n_phone"] for r in row] == [1, 0]
     assert row[0]["base_sha256"] == hashlib.sha256(f"phone:5:{len(text) - 4}".encode()).hexdigest()
+
+
+def plain_features(text):
+    words = text.encode().split()
+    raw = text.encode()
+    n, size = len(words), max(1, len(raw))
+    upper = sum(65 <= b < 91 for b in raw)
+    letters = upper + sum(97 <= b < 123 or b >= 128 for b in raw)
+    stops = sum(chr(b) in ".,;:!?'\"()-" for b in raw)
+    symbols = sum(33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:!?'\"()-" for b in raw) / size
+    share, distinct = upper / max(1, letters), len({*words})
+    repeat = sum(a == b for a, b in zip(words, words[1:])) / max(1, n - 1)
+    herdan = np.log(distinct + 1) / np.log(n + 1) if n else 1.0
+    mean = (size - sum(b in b" \n\t\r" for b in raw)) / max(1, n)
+    return [
+        min(symbols, 0.05) * 20, symbols, min(share, 0.3), max(0, share - 0.3), sum(48 <= b < 58 for b in raw) / size, min(repeat, 0.1) * 10, repeat, 1 - herdan, max(0, 0.85 - herdan),
+        1 - distinct / max(1, n), min(mean, 15) / 15, np.log1p(n) / 10, stops / size, raw.count(b"\n") / size, float(n == 0),
+    ]
+
+
+def test_quality_features_and_fit_match_plain_python():
+    r = random.Random(9)
+    texts = ["", "  \n", "ÜBER straße 12, 漢字!", "*** &&& Same Same Same"] + [" ".join(r.choice(["river", "Stone", "of", "***", "42", "day."]) for _ in range(r.randint(1, 60))) for _ in range(120)]
+    x = np.array([quality.features(t.encode()) for t in texts])
+    assert np.allclose(x, [plain_features(t) for t in texts], atol=1e-12)
+    good = np.array([t.count("***") * 4 < len(t.split()) + r.random() for t in texts])
+    made = quality.fit_ranking(x, good, pairs_each=5, ridge=1e-3)
+    # the optimum of the penalised likelihood of the preference pairs: its gradient is nought
+    z = [[(v - m) / s for v, m, s in zip(row, made.mean, made.scale, strict=True)] for row in x]
+    up, down = [i for i, g in enumerate(good) if g], [i for i, g in enumerate(good) if not g]
+    few, many = (down, up) if len(down) <= len(up) else (up, down)
+    pairs = [(a, many[(i * 7919) % len(many)]) for i, a in enumerate(a for a in few for _ in range(5))]
+    gradient = [-1e-3 * w for w in made.weights]
+    for a, b in pairs:
+        best, worst = (b, a) if few is down else (a, b)
+        d = [p - q for p, q in zip(z[best], z[worst], strict=True)]
+        wrong = 1 / (1 + np.exp(sum(w * v for w, v in zip(made.weights, d, strict=True))))
+        gradient = [g + wrong * v / len(pairs) for g, v in zip(gradient, d, strict=True)]
+    assert max(map(abs, gradient)) < 1e-8
