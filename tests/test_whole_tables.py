@@ -1,5 +1,6 @@
 """Queries that once saw a part of their tables, on small views against plain Python."""
 
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -127,3 +128,56 @@ def test_random_fill_meets_the_last_free_nodes(spark):
     rows = sa.random_fill(wanted, indexed, 3000, taken, lambda a, n: rng.u("f", a, n), rounds=2).collect()
     assert sorted(r["target"] for r in rows if r["agent"] == 1) == [17, 2900]
     assert len({r["target"] for r in rows if r["agent"] == 2}) == 2 and len(rows) == 4
+
+
+def planted(groups=6, size=15, seed=3):
+    """Dense groups with a few links between them, and a hub that all know."""
+    draw = random.Random(seed)
+    ids = range(groups * size)
+    edges = [(b, a) for a in ids for b in range(a + 1, len(ids)) if draw.random() < (0.8 if a // size == b // size else 0.01)]
+    return edges + [(i, 1000) for i in ids]
+
+
+def is_connected(group, edges):
+    return len({*brute_components(group, [e for e in edges if e[0] in group and e[1] in group]).values()}) == 1
+
+
+@pytest.mark.parametrize("gamma", [0.05, 0.3])
+def test_large_components_are_contracted(spark, gamma):
+    edges = planted() + [(2001, 2000), (2002, 2001), (3000, 3000)]
+    v = views(spark, edges)
+    ids = sorted({x for e in edges for x in e})
+    at_once = groups_of(co.communities(v.nodes.select("node_id"), v.edges, "cpm", gamma).collect())
+    for limit in (100, 1):
+        found = groups_of(co.communities(v.nodes.select("node_id"), v.edges, "cpm", gamma, limit).collect())
+        assert sorted(x for g in found for x in g) == ids
+        assert all(is_connected(g, edges) for g in found)
+        assert cpm(found, edges, gamma) >= (0.9 if limit > 1 else 0.6) * cpm(at_once, edges, gamma)
+    assert all(is_connected(g, edges) for g in at_once)
+
+
+def test_no_merge_or_move_improves_communities():
+    edges = planted()
+    ids = {x: i for i, x in enumerate(sorted({x for e in edges for x in e}))}
+    pairs = [(ids[a], ids[b], 1.0) for a, b in edges]
+    for gamma in (0.05, 0.3, 0.7):
+        found = co.leiden(len(ids), pairs, "cpm", gamma, 0.0)
+        groups = [{i for i, c in enumerate(found) if c == k} for k in sorted({*found})]
+        links = [(a, b) for a, b, _ in pairs]
+        best = cpm(groups, links, gamma)
+        assert all(is_connected(g, links) for g in groups)
+        joins = lambda x, y: sum((a in x and b in y) or (a in y and b in x) for a, b in links)
+        for k, g in enumerate(groups):
+            assert all(joins(g, h) <= gamma * len(g) * len(h) + 1e-9 for h in groups[:k])
+            for i in g:
+                stays = joins({i}, g - {i}) - gamma * (len(g) - 1)
+                assert stays >= -1e-9 and all(joins({i}, h) - gamma * len(h) <= stays + 1e-9 for h in groups if h is not g)
+        assert best >= cpm([{i for x, i in ids.items() if x // 15 == k} for k in range(6)] + [{ids[1000]}], links, gamma) - 1e-9 or gamma != 0.3
+
+
+def test_contraction_of_modularity(spark):
+    edges = planted()
+    v = views(spark, edges)
+    for limit in (10**6, 100):
+        found = groups_of(co.communities(v.nodes.select("node_id"), v.edges, "modularity", 1.0, limit).collect())
+        assert sum(sum(i // 15 == k for i in max(found, key=lambda g: sum(i // 15 == k for i in g))) for k in range(6)) >= 80
