@@ -67,6 +67,15 @@ def test_components_of_the_whole_network(spark):
     assert {r["node_id"]: r["component"] for r in got} == brute_components({x for e in EDGES for x in e}, EDGES)
 
 
+@pytest.mark.parametrize("often", [0, 3, 10**6])
+def test_components_with_frequent_labels(spark, often):
+    edges = EDGES + [(1000 + i, 1000) for i in range(1, 40)] + [(2000 + i, 1010) for i in range(5)] + [(-4, -9), (-4, 3000), (3001, 3001)]
+    v = views(spark, edges)
+    got = [tuple(r) for r in co.connected_components(v.nodes.select("node_id"), v.edges, often).collect()]
+    ids = {x for e in edges for x in e}
+    assert len(got) == len(ids) and dict(got) == brute_components(ids, edges)
+
+
 def test_communities_of_the_whole_network(spark):
     clique = lambda ids: [(b, a) for a in ids for b in ids if a < b]
     left, right = range(1, 13), range(21, 33)
