@@ -381,6 +381,32 @@ def bin_quota_rebalanced(v: Views) -> DataFrame:
     return bin_quota_table(v).groupBy("agent", "hop").agg(F.sum("quota").alias("quota"))
 
 
+def settle_sql(source: str) -> str:
+    """Chained CTEs y0, y1, ...: the excess of each bin goes to the nearest lower bins with room, then to higher ones."""
+    steps, last = [], source
+    for b in range(len(BOUNDS)):
+        for j in [*range(b)][::-1] + [*range(b + 1, len(BOUNDS))]:
+            moved = f"greatest(least(t{b} - s{b}, s{j} - t{j}), 0)"
+            steps.append(f", y{len(steps)} as (select * replace (t{b} - {moved} as t{b}, t{j} + {moved} as t{j}) from {last})")
+            last = f"y{len(steps) - 1}"
+    rows = " union all ".join(f"select agent, hop, {b} as bin, least(t{b}, s{b})::int as quota from {last}" for b in range(len(BOUNDS)))
+    return "".join(steps) + f" {rows}"
+
+
+SETTLED_SQL = SPLIT_SQL + BINNED_SQL.removeprefix(CAP2_SQL) + f""", sizes as (select agent, hop, {', '.join(f"(count(*) filter (bin = {b}))::int as s{b}" for b in range(4))} from binned group by agent, hop),
+  z as (select s.*, case hop when 1 then c1 else c2 end::int as t from sizes s join split using (agent)), z0 as (select *, least(round(t * 0.5::double), t)::int as x0 from z), z1 as (select *, least(round(t * 0.25::double), t - x0)::int as x1 from z0),
+  z2 as (select *, least(round(t * 0.125::double), t - x0 - x1)::int as x2 from z1), z3 as (select *, least(round(t * 0.125::double), t - x0 - x1 - x2)::int as x3 from z2),
+  zu as (select agent, hop, unnest(range(1, t - x0 - x1 - x2 - x3 + 1)) as i from z3), zd as (select agent, hop, {BIN_SQL.format(a='y')} as bin from (select agent, hop, floor({us('unit', 'agent', 'hop', 'i')} * 5) + 1 as y from zu)),
+  ze as (select agent, hop, {', '.join(f"count(*) filter (bin = {b}) as e{b}" for b in range(4))} from zd group by agent, hop),
+  zt as (select agent, hop, s0, s1, s2, s3, {', '.join(f"(x{b} + coalesce(e{b}, 0))::int as t{b}" for b in range(4))} from z3 left join ze using (agent, hop))"""
+
+
+@query(SETTLED_SQL + settle_sql("zt"))
+def bin_quota_by_bin(v: Views) -> DataFrame:
+    """Quotas of every bin after excess has moved between bins."""
+    return bin_quota_table(v).select("agent", "hop", "bin", "quota")
+
+
 # --- selection ----------------------------------------------------------------------------------------------
 
 
