@@ -381,27 +381,34 @@ def bin_quota_rebalanced(v: Views) -> DataFrame:
     return bin_quota_table(v).groupBy("agent", "hop").agg(F.sum("quota").alias("quota"))
 
 
-def settle_sql(source: str) -> str:
-    """Chained CTEs y0, y1, ...: the excess of each bin goes to the nearest lower bins with room, then to higher ones."""
-    steps, last = [], source
-    for b in range(len(BOUNDS)):
-        for j in [*range(b)][::-1] + [*range(b + 1, len(BOUNDS))]:
-            moved = f"greatest(least(t{b} - s{b}, s{j} - t{j}), 0)"
-            steps.append(f", y{len(steps)} as (select * replace (t{b} - {moved} as t{b}, t{j} + {moved} as t{j}) from {last})")
-            last = f"y{len(steps) - 1}"
-    rows = " union all ".join(f"select agent, hop, {b} as bin, least(t{b}, s{b})::int as quota from {last}" for b in range(len(BOUNDS)))
-    return "".join(steps) + f" {rows}"
-
-
-SETTLED_SQL = SPLIT_SQL + BINNED_SQL.removeprefix(CAP2_SQL) + f""", sizes as (select agent, hop, {', '.join(f"(count(*) filter (bin = {b}))::int as s{b}" for b in range(4))} from binned group by agent, hop),
-  z as (select s.*, case hop when 1 then c1 else c2 end::int as t from sizes s join split using (agent)), z0 as (select *, least(round(t * 0.5::double), t)::int as x0 from z), z1 as (select *, least(round(t * 0.25::double), t - x0)::int as x1 from z0),
-  z2 as (select *, least(round(t * 0.125::double), t - x0 - x1)::int as x2 from z1), z3 as (select *, least(round(t * 0.125::double), t - x0 - x1 - x2)::int as x3 from z2),
-  zu as (select agent, hop, unnest(range(1, t - x0 - x1 - x2 - x3 + 1)) as i from z3), zd as (select agent, hop, {BIN_SQL.format(a='y')} as bin from (select agent, hop, floor({us('unit', 'agent', 'hop', 'i')} * 5) + 1 as y from zu)),
-  ze as (select agent, hop, {', '.join(f"count(*) filter (bin = {b}) as e{b}" for b in range(4))} from zd group by agent, hop),
-  zt as (select agent, hop, s0, s1, s2, s3, {', '.join(f"(x{b} + coalesce(e{b}, 0))::int as t{b}" for b in range(4))} from z3 left join ze using (agent, hop))"""
-
-
-@query(SETTLED_SQL + settle_sql("zt"))
+def quotas_sql(groups: str, *unit: str) -> str:
+    """A CTE quota_of(agent, hop, bin, quota); groups(agent, hop, s0 to s3, t): sizes by bin and the total; unit: the names of a
+    leftover unit's draw. The excess of each bin goes to the nearest lower bins with room, then to higher ones."""
+    bins = range(len(BOUNDS))
+    out, left = "", "t"
+    for b, p in enumerate(PROBABILITIES):
+        out += f", z{b} as (select *, least(round(t * {p}::double), {left})::int as x{b} from {f'z{b - 1}' if b else groups})"
+        left += f" - x{b}"
+    out += f", zu as (select agent, hop, unnest(range(1, {left} + 1)) as i from z{bins[-1]}), zd as (select agent, hop, {BIN_SQL.format(a='y')} as bin from (select agent, hop, floor({us(*unit)} * 5) + 1 as y from zu))"
+    out += f", ze as (select agent, hop, {', '.join(f'count(*) filter (bin = {b}) as e{b}' for b in bins)} from zd group by agent, hop)"
+    out += f", zt as (select agent, hop, s0, s1, s2, s3, {', '.join(f'(x{b} + coalesce(e{b}, 0))::int as t{b}' for b in bins)} from z{bins[-1]} left join ze using (agent, hop))"
+    last = "zt"
+    for b in bins:
+        for k in [*range(b)][::-1] + [*range(b + 1, len(BOUNDS))]:
+            moved = f"greatest(least(t{b} - s{b}, s{k} - t{k}), 0)"
+            out += f", y{b}_{k} as (select * replace (t{b} - {moved} as t{b}, t{k} + {moved} as t{k}) from {last})"
+            last = f"y{b}_{k}"
+    return out + f", quota_of as ({' union all '.join(f'select agent, hop, {b} as bin, least(t{b}, s{b})::int as quota from {last}' for b in bins)})"
+
+
+SIZES_SQL = ", ".join(f"(count(*) filter (bin = {b}))::int as s{b}" for b in range(len(BOUNDS)))
+SETTLED_SQL = (
+    SPLIT_SQL + BINNED_SQL.removeprefix(CAP2_SQL) + f", sizes as (select agent, hop, {SIZES_SQL} from binned group by agent, hop), sized_by as (select s.*, case hop when 1 then c1 else c2 end::int as t from sizes s join split using (agent))"
+    + quotas_sql("sized_by", "unit", "agent", "hop", "i")
+)
+
+
+@query(SETTLED_SQL + " select * from quota_of")
 def bin_quota_by_bin(v: Views) -> DataFrame:
     """Quotas of every bin after excess has moved between bins."""
     return bin_quota_table(v).select("agent", "hop", "bin", "quota")
@@ -542,7 +549,16 @@ def cartel_null(v: Views) -> DataFrame:
     return ca.null_citations(members, near, far, u("null", "agent", "candidate")).select("agent", "target")
 
 
-@query()
+CARTEL_SCORED_SQL = (
+    OUT_SQL + METRIC_SQL + WEIGHT_SQL + f", cb as (select agent, 1 as hop, candidate, {BIN_SQL.format(a=f'({NOW} - year)')} as bin from cin join nodes on node_id = candidate), sizes as (select agent, hop, {SIZES_SQL}, 3 as t from cb group by agent, hop)"
+    + quotas_sql("sizes", "cartel_unit", "agent", "i") + f""", cs as (select agent, bin, candidate, {us('cartel_pick', 'agent', 'candidate')} as o, w_pa * (pa / sum(pa) over g) + w_fit * (fit / sum(fit) over g) + w_na * (na / sum(na) over g) + w_ar * (ar / sum(ar) over g) as score
+    from cb join metric on node_id = candidate join weights using (agent) window g as (partition by agent, bin)),
+  cp as (select agent, candidate as target from (select *, row_number() over (partition by agent, bin order by case when bin < 3 then -ln(o) / score else o end, candidate) as n from cs join quota_of using (agent, bin)) where n <= quota)
+  select agent, target from cp union all select agent, candidate from (select *, row_number() over (partition by agent order by partner) as n from cout) left join (select agent, count(*) as got from cp group by agent) using (agent) where n <= 3 - coalesce(got, 0)"""
+)
+
+
+@query(CARTEL_SCORED_SQL)
 def cartel_scored(v: Views) -> DataFrame:
     members = keep(cartel_agents(v).withColumn("cartel", F.lit(3)), "cartel")
     near = keep(ca.in_neighborhood(members, cartel_table(v), v.nodes, capped_hops(v), u("cartel", "agent", "candidate")), "near")
