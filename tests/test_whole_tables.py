@@ -190,3 +190,16 @@ def test_contraction_of_modularity(spark):
     for limit in (10**6, 100):
         found = groups_of(co.communities(v.nodes.select("node_id"), v.edges, "modularity", 1.0, limit).collect())
         assert sum(sum(i // 15 == k for i in max(found, key=lambda g: sum(i // 15 == k for i in g))) for k in range(6)) >= 80
+
+
+def test_lists_of_many_pieces_and_ranges(spark, monkeypatch):
+    """Pieces and ranges of a few places give the hops that whole lists give, hubs read by rows and short lists by arrays."""
+    edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(i, 7 * i % 59 + 1) for i in range(1, 60)] + [(i, 100 + i % 9) for i in range(1, 60)], "source long, target long")
+    picks = spark.createDataFrame([(1000 + i, i) for i in range(60)], "agent long, generator long")
+    draw = lambda name, *c: rng.u(name, *c)
+    whole = {tuple(r) for r in ne.placed_hops(picks, ne.packed(ne.adjacency(edges)), 5, draw).collect()}
+    monkeypatch.setattr(ne, "PIECE", 4)
+    monkeypatch.setattr(ne, "RANGE", 10)
+    lists = ne.packed(ne.adjacency(edges.unionByName(edges)))
+    assert lists.where("size(ids) > 4 or degree > 1000").isEmpty() and lists.where("node_id = 0").count() > 15
+    assert {tuple(r) for r in ne.placed_hops(picks, lists, 5, draw).collect()} == whole
