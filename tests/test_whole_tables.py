@@ -11,6 +11,7 @@ from citeloom.operators import community as co
 from citeloom.operators import neighborhood as ne
 from citeloom.operators import sampling as sa
 from citeloom.plans import catalogue
+from citeloom.plans.state import keep
 
 
 def views(spark, edges, nodes=(), agents=()):
@@ -203,3 +204,37 @@ def test_lists_of_many_pieces_and_ranges(spark, monkeypatch):
     lists = ne.packed(ne.adjacency(edges.unionByName(edges)))
     assert lists.where("size(ids) > 4 or degree > 1000").isEmpty() and lists.where("node_id = 0").count() > 15
     assert {tuple(r) for r in ne.placed_hops(picks, lists, 5, draw).collect()} == whole
+
+
+def test_component_links_shrink_by_level(spark, monkeypatch):
+    """A chain, a star and a random part; links are renamed and written level by level."""
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(r.randint(2000, 2400), r.randint(2000, 2400)) for _ in range(900)]
+    nodes, kept = sorted({x for e in edges for x in e}), []
+    monkeypatch.setattr(co, "keep", lambda df, name: kept.append((name, keep(df, name))) or kept[-1][1])
+    v = views(spark, edges)
+    got = {r["node_id"]: r["component"] for r in co.connected_components(v.nodes.select("node_id"), v.edges, 20).collect()}
+    assert got == brute_components(nodes, edges)
+    alive = [0 for name, _ in kept if name == "links"]
+    assert len(alive) > 1  # they were read whole in every round
+
+
+def test_quota_hops_are_made_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(catalogue, "capped_hops", lambda v: made.append(v) or v.hops)
+    monkeypatch.setattr(catalogue, "split_table", lambda v, hopped: v.split)
+    monkeypatch.setattr(catalogue, "keep", lambda df, name: df)
+    monkeypatch.setattr(catalogue.ne, "binned", lambda *a: a[0])
+    monkeypatch.setattr(catalogue.ne, "bin_counts", lambda rows: rows)
+    monkeypatch.setattr(catalogue.qu, "size_arrays", lambda rows, n: Frame())
+    monkeypatch.setattr(catalogue.qu, "bin_quotas", lambda *a: a[0])
+    monkeypatch.setattr(catalogue, "F", SimpleNamespace(lit=lambda x: Frame(), col=lambda x: Frame()))
+    catalogue.bin_quota_table(SimpleNamespace(hops=Frame(), split=Frame(), nodes=None))
+    assert len(made) == 1
+
+
+class Frame:
+    """Stands for a table or column whose rows don't matter."""
+
+    def __getattr__(self, name):
+        return lambda *a: self
