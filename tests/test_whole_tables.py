@@ -107,6 +107,20 @@ def test_every_agent_has_cluster_candidates(spark):
     assert len(got) == len(want) and {*got} == want
 
 
+def test_cluster_members_are_met_in_blocks(spark, monkeypatch):
+    """One large cluster, two small ones and an unknown one; agents meet blocks, not single members."""
+    monkeypatch.setattr(ne, "MEMBERS", 16)
+    rows = [(n, 1990 + n % 14, 0 if n % 10 else n % 4 - 1) for n in range(2000)] + [(5000, 1990, None)]
+    nodes = spark.createDataFrame(rows, "node_id long, year int, cluster_id int")
+    agents = [(9000 + i, 7 * i, i % 4 - 1) for i in range(12)] + [(9100, 3, None), (9101, 3, 77)]
+    blocks = ne.member_blocks(nodes, 2001).collect()
+    assert 40 < len(blocks) < 200 and max(len(b["members"]) for b in blocks) < 64
+    assert sorted((b["cluster_id"], m) for b in blocks for m in b["members"]) == sorted((c, n) for n, y, c in rows if y < 2001 and c is not None and c >= 0)
+    got = ne.cluster_candidates(spark.createDataFrame(agents, "agent long, generator long, cluster_id int"), nodes, 2001).collect()
+    want = [(a, n) for a, g, c in agents for n, y, k in rows if c is not None and c >= 0 and k == c and y < 2001 and n != g]
+    assert sorted((r["agent"], r["candidate"]) for r in got) == sorted(want)
+
+
 def test_every_source_makes_the_round_trip(spark):
     edges = [(s, (7 * s + k) % 50) for s in range(60, 75) for k in range(s % 4)]
     want = {}
