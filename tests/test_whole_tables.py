@@ -10,7 +10,7 @@ from citeloom.functions import rng
 from citeloom.operators import community as co
 from citeloom.operators import neighborhood as ne
 from citeloom.operators import sampling as sa
-from citeloom.plans import catalogue
+from citeloom.plans import catalogue, state
 from citeloom.plans.state import keep
 
 
@@ -220,6 +220,31 @@ def test_lists_of_many_pieces_and_ranges(spark, monkeypatch):
     assert {tuple(r) for r in ne.placed_hops(picks, lists, 5, draw).collect()} == whole
 
 
+def shuffle_files(spark):
+    spark.sparkContext._jvm.System.gc()
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    rows = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    before = shuffle_files(spark)
+    out = keep(rows, "tidy")
+    assert not shuffle_files(spark) - before
+    assert sorted(r["n"] for r in out.collect()) == [714] * 5 + [715] * 2
+    assert not spark.conf._jconf.contains(state.TIDY) or spark.conf.get(state.TIDY) == "false"
+
+
+def test_lists_packed_in_parts_are_whole(spark):
+    rng_ = random.Random(5)
+    edges = spark.createDataFrame([(rng_.randrange(300), rng_.randrange(300)) for _ in range(3000)] + [(7, n) for n in range(300, 2600)], "source long, target long")
+    before = shuffle_files(spark)
+    kept = ne.kept_adjacency(edges, "parts")
+    assert not shuffle_files(spark) - before
+    row = lambda r: (r["node_id"], r["piece"], r["first"], tuple(r["ids"]), r["degree"])
+    assert sorted(map(row, kept.collect())) == sorted(map(row, ne.packed(ne.adjacency(edges)).collect()))
+
+
 def test_component_links_shrink_by_level(spark, monkeypatch):
     """A chain, a star and a random part; links are renamed and written level by level."""
     r = random.Random(3)
