@@ -258,6 +258,18 @@ def test_component_links_shrink_by_level(spark, monkeypatch):
     assert len(alive) > 1  # they were read whole in every round
 
 
+def test_scores_read_written_metrics_and_bins(monkeypatch):
+    """Their shuffle files are gone before candidates are scored."""
+    kept = []
+    monkeypatch.setattr(catalogue, "keep", lambda df, name, compact=False: kept.append((df, compact)) or f"{df}, written")
+    monkeypatch.setattr(catalogue, "metric_table", lambda v: "metrics")
+    monkeypatch.setattr(catalogue, "binned_hops", lambda v: "bins")
+    monkeypatch.setattr(catalogue, "agent_weights", lambda v: "weights")
+    monkeypatch.setattr(catalogue.sa, "scored", lambda *a: a)
+    assert catalogue.scored_table(None) == ("bins, written", "metrics, written", "weights")
+    assert sorted(kept) == [("bins", True), ("metrics", True)]
+
+
 def test_quota_hops_are_made_once(monkeypatch):
     made = []
     monkeypatch.setattr(catalogue, "capped_hops", lambda v: made.append(v) or v.hops)
