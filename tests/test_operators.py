@@ -63,6 +63,15 @@ def test_bin_quota(spark, total, p, sizes, want):
     assert tuple(r["quota"] for r in got.orderBy("bin").collect()) == want
 
 
+def test_shares_and_moves_are_computed_once(spark):
+    """Not once for every bin that reads them: the plan spells each fold out once."""
+    groups = spark.createDataFrame([(1, 1, 7, [2, 9, 1])], "agent long, hop int, total int, sizes array<int>")
+    targets = groups.select(qu.bin_targets(F.col("total"), [0.5, 0.2, 0.1], [1, 2, 3], lambda i: rng.u("x", "agent", i)).alias("t"))
+    assert targets._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    settled = groups.select(qu.rebalance(F.col("sizes"), F.col("sizes")).alias("t"))
+    assert settled._jdf.queryExecution().analyzed().toString().count("aggregate(") == 3
+
+
 def test_hop_quota_is_met(spark):
     r = random.Random(5)
     rows = []
