@@ -51,9 +51,21 @@ def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches where the session still has Spark's defaults. Queries and the pipeline's stages call this;
     operators leave the caller's session as it is."""
     for key, default, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{key}"
-        if str(spark.conf.get(name, default)).rstrip("b") == default:
-            spark.conf.set(name, str(ours))
+        _bound(spark, f"spark.sql.execution.arrow.{key}", default, ours)
+
+
+#: Rows that Spark's Parquet reader decodes at once. Its 4,096 whole texts fill arrays of many MB, which make the heap grow.
+READ_ROWS = 256
+
+
+def small_reads(spark: SparkSession) -> None:
+    """Bound the batches of Spark's Parquet reader where the session still has the default."""
+    _bound(spark, "spark.sql.parquet.columnarReaderBatchSize", "4096", READ_ROWS)
+
+
+def _bound(spark: SparkSession, name: str, default: str, ours: int) -> None:
+    if str(spark.conf.get(name, default)).rstrip("b") == default:
+        spark.conf.set(name, str(ours))
 
 
 def release_memory() -> None:

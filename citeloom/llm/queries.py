@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, pii, quality, secrets, token_counts, topk
-from .common import small_batches, table
+from .common import small_batches, small_reads, table
 
 
 def _vocabulary(name: str) -> str:
@@ -27,6 +27,7 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_reads(spark)
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=10)
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, components, exact_dedup, line_dedup, mixing, near_dedup, pii, quality, secrets, token_counts, topk
+from citeloom.llm import bpe, components, exact_dedup, line_dedup, mixing, near_dedup, pii, quality, queries, secrets, token_counts, topk
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SPACE = " \t\n\x0b\x0c\r"
@@ -168,6 +168,21 @@ def test_a_line_of_a_third_of_all_documents_in_shards(spark):
     assert parts.agg(F.max("parts")).first()[0] > parts.agg(F.min("parts")).first()[0]  # the hot line's shard is asked in more parts
 
 
+def test_line_dedup_query_reads_long_texts_in_small_batches(spark, tmp_path):
+    rows = [(i, f"a line that they all hold\nline {i % 300} of some\n" + f"words of document {i} " * 2000) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        for own, then in (("4096", "256"), ("1000", "1000")):  # a session's own choice stays
+            spark.conf.set(name, own)
+            got = queries.QUERIES["op3_line_dedup"](spark, str(tmp_path))
+            assert spark.conf.get(name) == then
+            assert rows_of(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute_lines([(d, t, None) for d, t in rows])
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_line_filters_lose_nothing():
     r = np.random.RandomState(2)
     a, b = r.randint(0, 1 << 62, 5000).astype(np.uint64), r.randint(0, 1 << 62, 5000).astype(np.uint64)
