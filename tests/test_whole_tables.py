@@ -121,7 +121,7 @@ def test_cluster_members_are_met_in_blocks(spark, monkeypatch):
     assert sorted((r["agent"], r["candidate"]) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize("override", [False])
+@pytest.mark.parametrize("override", [False, True])
 def test_cluster_rows_are_written_tightly(spark, tmp_path, monkeypatch, override):
     """Every pair is there, and takes a small part of the 1.6 bytes of rows that go agent by agent; several teams and blocks."""
     monkeypatch.setattr(ne, "TEAM", 300, raising=False)
