@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from citeloom.operators import agents as ag
 from citeloom.operators import authors as au
 from citeloom.operators import community as co
 from citeloom.operators import graph as gr
+from citeloom.operators import leiden
 from citeloom.operators import neighborhood as ne
 from citeloom.operators import quota as qu
 from citeloom.operators import sampling as sa
@@ -380,3 +382,27 @@ def test_own_folder_where_the_session_names_none(spark):
     bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=spark.sparkContext)
     found = state.shared_dir(bare)
     assert found and state.shared_dir(bare) == found
+
+
+@pytest.mark.parametrize("weights", ["one", "whole", "broken"])
+def test_large_graphs_move_as_arrays(monkeypatch, weights):
+    """No node of a large graph is walked alone; the communities are connected and as good as those of walking."""
+    draw = random.Random(7)
+    n = 6000
+    pairs = {(min(a, b), max(a, b)) for a in range(n) for b in [draw.randrange(a // 12 * 12, a // 12 * 12 + 12) for _ in range(5)] + [draw.randrange(n) for _ in range(3)] if a != b}
+    a, b = np.array(sorted(pairs)).T
+    w = {"one": np.ones(len(a)), "whole": 1.0 + a % 3, "broken": 0.75 + (a % 3) / 4}[weights]
+    quality = lambda f: w[f[a] == f[b]].sum() - 0.05 * (np.bincount(f) * (np.bincount(f) - 1.0) / 2).sum()
+    with monkeypatch.context() as m:
+        m.setattr(leiden, "FEW", 10**9, raising=False)
+        walked = quality(leiden.partition(np.ones(n), a, b, w, 0.05))
+    for size in (0, n // 2):
+        with monkeypatch.context() as m:
+            m.setattr(leiden, "FEW", size, raising=False)
+            if not size:
+                m.setattr(leiden.Level, "near", lambda *_: pytest.fail("a node is walked alone"))
+            found = leiden.partition(np.ones(n), a, b, w, 0.05)
+            assert np.array_equal(found, leiden.partition(np.ones(n), a, b, w, 0.05))
+        assert quality(found) > 0.98 * walked
+        level = leiden.Level(np.ones(n), a, b, w)
+        assert len(np.unique(leiden.connected(level, found))) == len(np.unique(found))
